@@ -159,3 +159,31 @@ def need(df: DataFrame, **columns: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, which only Spark may be able to read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The most labelled documents that a classifier is fitted on, and the most characters they have.
+TRAIN_DOCS, TRAIN_CHARS = 8_000, 24_000_000
+
+
+def training_rows(
+    docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str, most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS
+) -> tuple[list[str], np.ndarray]:
+    """A bounded sample of labelled texts, by the hash of their ids, and their labels.
+
+    At most ``most_docs`` documents, and no more once ``most_chars`` are gathered. ``trusted`` is over
+    ``doc_id`` and says which labels may be learned from; null labels and ids are left out.
+    """
+    chosen = (
+        labels.where(trusted & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_docs)
+    )
+    # at most most_docs rows of two numbers
+    got = need(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
+    texts, ys, chars = [], [], 0
+    for row in got.select("label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").toLocalIterator():
+        chars += len(row.text)
+        if texts and chars > most_chars:
+            break
+        texts.append(row.text)
+        ys.append(int(row.label))
+    return texts, np.array(ys, np.int64)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import simhash
+from sievework.llm import fingerprint, lengthpack, quality, simhash, toxicity
 from sievework.llm.common import table
 
 
@@ -14,8 +15,41 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def remainder(n: int) -> Column:
+    """``doc_id``, as text, by CRC-32 modulo ``n``: decides which rows may be learned from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengthpack.batches(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return quality.scored(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted", "worst_sentence"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_fingerprint": op3_fingerprint,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_packing": lengthpack.oracle_sql(),
+}
