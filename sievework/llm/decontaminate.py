@@ -73,22 +73,19 @@ def leaks(
     pairs = checkpointed(searched.distinct())
     # documents are read again for the candidates alone; three numbers a row
     left = small_or_shuffled(pairs.select(F.col("doc_id").alias("id"), "text_hash", "item"))
-    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(
-        left, F.col("doc_id").eqNullSafe(F.col("id")) & (rows_hash() == left["text_hash"])
-    ).select("doc_id", "text", "item").distinct()
+    # words are a column of their own, else each shingle would split the text again
+    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
+        left, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))
+    ).select("doc_id", "text_hash", "item", words(F.lower("text")).alias("w"))
     checked = texts.join(found.drop("least"), "item").select(
-        "doc_id", "item_id", "item", "need", F.size("shingles").alias("n_shingles"),
-        F.size(F.array_intersect("shingles", _shingles(words(F.lower("text")), F.col("width")))).alias("n_found"),
-    )
+        "doc_id", "text_hash", "item", "item_id", "need", F.size("shingles").alias("n_shingles"),
+        F.size(F.array_intersect("shingles", _shingles(F.col("w"), F.col("width")))).alias("n_found"),
+    ).distinct()
     return checked.where("n_found >= need").select(
         "doc_id", "item_id", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment")
     )
 
 
-def rows_hash() -> Column:
-    return F.xxhash64("text")
-
-
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found.
 
