@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, fingerprint, lengthpack, quality, recurrent, simhash, tokenpack, toxicity
+from sievework.llm import chat, decontaminate, fingerprint, lengthpack, passages, quality, recurrent, simhash, tokenpack, toxicity
 from sievework.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_fingerprint": op3_fingerprint,
     "op4_tokens": op4_tokens,
+    "op5_passages": op5_passages,
     "op6_chat": op6_chat,
     "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
