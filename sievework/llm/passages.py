@@ -21,13 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed, need, small_or_shuffled
+from sievework.llm.common import checkpointed, need, runs_of, small_or_shuffled, starts_of
 
 SHINGLE, SHARE = 5, 0.8
 #: Words in the shortest passage, and hash functions.
 LEAST, HASHES = 50, 4
 #: The other shingle of a key lies so many places off: below half of the shortest passage.
 BESIDE = 20
+#: One document in so many shows which keys are frequent; such keys are dealt to so many parts.
+SAMPLE, OFTEN, SALTS = 64, 8, 64
+_LOW = (1 << 32) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
@@ -89,11 +92,13 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
-    """``key``, ``doc``, ``left``, ``place``, ``right`` of the compact windows of ``docs`` (``doc``, ``text``), twice each.
+    """``key``, ``doc``, ``span`` of the compact windows of ``docs`` (``doc``, ``text``), twice each.
 
-    A key stands for the function, the least shingle and the one BESIDE places before or after it.
+    A key stands for the function, the least shingle and the one BESIDE places before or after it. A span
+    has the left end in its upper half and the right end in its lower half.
     """
     long = least - SHINGLE + 1
+    seeds = _mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _ODD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -103,17 +108,17 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
             for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
                 h = hasher.shingles(text.as_py())
                 for k in range(hashes):
-                    mixed = _mixed(h ^ (_ODD * np.uint64(2 * k + 1)))
+                    mixed = _mixed(h ^ seeds[k])
                     if not (found := compact_windows(mixed, long)):
                         break
-                    w = np.array(found, np.int32)
-                    c = w[:, 1]
+                    w = np.array(found, np.int64)
+                    c, span = w[:, 1], (w[:, 0] << 32) + w[:, 2]
                     for side in (-BESIDE, BESIDE):
                         other = c + side
                         inside = (other >= 0) & (other < h.size)
                         key = _mixed(mixed[c[inside]] + _mixed(h[other[inside]] + np.uint64(k * 2 + (side > 0))))
                         keys.append(key.view(np.int64))
-                        spans.append(w[inside])
+                        spans.append(span[inside])
                         docs_.append(np.full(key.size, doc, np.int64))
                         rows += key.size
                 if rows > 100_000:
@@ -122,23 +127,19 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
             if rows:
                 yield pack(keys, docs_, spans)
 
-    def pack(keys: list, docs_: list, spans: list) -> pa.RecordBatch:
-        s = np.concatenate(spans)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs_)), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(3))],
-            names=["key", "doc", "left", "place", "right"],
-        )
+    def pack(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "doc", "span"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, left int, place int, right int")
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, span long")
 
 
 def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int, int]], least: int, share: float) -> list[tuple[int, int, int, int]]:
     """Verified passages (begin, end, begin, end), in shingles of ``own`` and ``other``, that ``spans`` lead to.
 
     A span is (left, right) of a window here and there. Spans that overlap are joined first. In a joined
-    span, the places that have a shingle in common with the other side are chained into passages wherever
-    no gap is so long that it must bring the resemblance below ``share``; ends are then the outermost common
-    places. A passage counts if it has enough words and the sets of shingles on both sides resemble by ``share``.
+    span, the places that have a shingle in common with the other side are parted at long gaps, and again at
+    the widest gap while a part does not count; ends are the outermost common places. A passage counts if it
+    has enough words and the sets of shingles on both sides resemble by ``share``.
     """
     joined: list[list[int]] = []
     for s in sorted(spans):
@@ -155,35 +156,34 @@ def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int,
             continue
         # an edited word breaks SHINGLE shingles; a longer gap parts two passages
         for part in np.split(common, np.flatnonzero(np.diff(common) > 4 * SHINGLE) + 1):
-            found = _best(x, y, part, least, share)
-            if found:
-                out.add((a0 + found[0], a0 + found[1], b0 + found[2], b0 + found[3]))
+            out.update((a0 + a, a0 + b, b0 + c, b0 + d) for a, b, c, d in _parts(x, y, part, least, share))
     return sorted(out)
 
 
-def _best(x: np.ndarray, y: np.ndarray, part: np.ndarray, least: int, share: float) -> tuple[int, int, int, int] | None:
-    """The passage from the first to the last place of ``part``, made shorter at its looser end until it counts."""
+def _parts(x: np.ndarray, y: np.ndarray, part: np.ndarray, least: int, share: float) -> Iterator[tuple[int, int, int, int]]:
+    """Passages from the first to the last place of ``part`` or, where that does not count, of its halves about the widest gap."""
     order = np.argsort(y, kind="stable")
     there = order[np.searchsorted(y[order], x[part])]
-    lo, hi = 0, part.size - 1
-    while lo < hi and part[hi] - part[lo] + SHINGLE >= least:
-        a, b = int(part[lo]), int(part[hi])
-        spots = there[lo : hi + 1]
+    todo = [(0, part.size)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi <= lo or part[hi - 1] - part[lo] + SHINGLE < least:
+            continue
+        a, b, spots = int(part[lo]), int(part[hi - 1]), there[lo:hi]
         # places there that belong together: those about the median offset
-        shift = np.median(spots - part[lo : hi + 1])
-        near = spots[np.abs(spots - part[lo : hi + 1] - shift) <= max(8, (b - a) // 4)]
+        off = spots - part[lo:hi]
+        near = spots[np.abs(off - np.median(off)) <= max(8, (b - a) // 4)]
         if near.size:
             c, d = int(near.min()), int(near.max())
             p, q = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
             both = np.intersect1d(p, q, assume_unique=True).size
             if both >= share * (p.size + q.size - both):
-                return a, b, c, d
-        # drop the end with the larger gap to its neighbour
-        if part[lo + 1] - part[lo] >= part[hi] - part[hi - 1]:
-            lo += 1
-        else:
-            hi -= 1
-    return None
+                yield a, b, c, d
+                continue
+        gaps = np.diff(part[lo:hi])
+        # without a gap here, the other side is interrupted
+        cut = lo + 1 + int((gaps if gaps.max() > 1 else np.abs(np.diff(off))).argmax())
+        todo += [(lo, cut), (cut, hi)]
 
 
 def passages(
@@ -201,35 +201,66 @@ def passages(
     """
     rows = need(docs, doc=id_col, text=text_col).where("doc IS NOT NULL AND text IS NOT NULL")
     # a text hashed twice stands for it; text itself is not shuffled for this
-    each = rows.select(F.col("doc").cast("long").alias("doc"), F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.length("text").alias("chars"))
-    ids = checkpointed(each.groupBy("doc").agg(F.min(F.struct("x", "y", "chars")).alias("t")).select("doc", "t.*"))
-    firsts = checkpointed(ids.groupBy("x", "y").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars")))
     one = rows.select(F.col("doc").cast("long").alias("doc"), "text", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
-    distinct = one.join(firsts.select("doc", "x", "y"), ["doc", "x", "y"], "left_semi").select("doc", "text")
-    made = checkpointed(_met(windows(distinct, least, hashes)))
-    marks = checkpointed(made.groupBy("doc", "first").agg(F.collect_set(F.struct("left", "right", "first_left", "first_right")).alias("spans")))
+    ids = checkpointed(
+        one.groupBy("doc").agg(F.min(F.struct("x", "y", F.length("text").alias("chars"))).alias("t"), F.count(F.lit(1)).alias("rows")).select("doc", "t.*", "rows")
+    )
+    firsts = checkpointed(ids.groupBy("x", "y").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copies = checkpointed(ids.join(small_or_shuffled(firsts), ["x", "y"]).select("doc", "first", "chars"))
+    if not ids.where("rows > 1").isEmpty():
+        one = one.join(ids.select("doc", "x", "y"), ["doc", "x", "y"], "left_semi").dropDuplicates(["doc"])
+    later = copies.where("doc <> first").select("doc")
+    distinct = one.select("doc", "text").join(small_or_shuffled(later), "doc", "left_anti")
+    met = checkpointed(_met(windows(distinct, least, hashes), windows(distinct.where(_sampled()), least, hashes)))
+    marks = checkpointed(met.groupBy("doc", "first").agg(F.collect_set(F.struct("span", "first_span")).alias("spans")))
     found = checkpointed(_verified(distinct, marks, least, share))
     own = found.select(F.col("doc").alias("doc_id"), "begin", "end", F.col("first").alias("first_doc_id"), F.lit(False).alias("is_first"))
     there = found.select(F.col("first").alias("doc_id"), F.col("first_begin").alias("begin"), F.col("first_end").alias("end"), F.col("first").alias("first_doc_id"), F.lit(True).alias("is_first"))
     # whole copies; texts below the least number of words are no passages
-    enough = checkpointed(_long_enough(distinct.join(small_or_shuffled(firsts.where("copies > 1").select("doc")), "doc", "left_semi"), least))
-    whole = ids.join(small_or_shuffled(enough.join(firsts, "doc").select("x", "y", F.col("doc").alias("first"))), ["x", "y"]).select(
-        F.col("doc").alias("doc_id"), F.lit(0).alias("begin"), F.col("chars").cast("int").alias("end"), F.col("first").alias("first_doc_id"), (F.col("doc") == F.col("first")).alias("is_first")
+    enough = _long_enough(distinct.join(small_or_shuffled(copies.where("doc = first").select("doc")), "doc", "left_semi"), least)
+    whole = copies.join(small_or_shuffled(checkpointed(enough.withColumnRenamed("doc", "first"))), "first").select(
+        F.col("doc").alias("doc_id"), F.lit(0).alias("begin"), F.col("chars").alias("end"), F.col("first").alias("first_doc_id"), (F.col("doc") == F.col("first")).alias("is_first")
     )
     return own.unionByName(there).unionByName(whole).distinct()
 
 
-def _met(made: DataFrame) -> DataFrame:
-    """Windows linked to that of the smallest document in their group.
+def _sampled():
+    """One document in SAMPLE, by hash: shows which keys are frequent, and decides nothing else."""
+    return F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0
+
 
-    The least window is found by combining before the shuffle; the join back has one row for a key, so
-    a frequent key can be split over tasks.
+def _met(made: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Windows linked to that of the smallest document in their group: ``doc``, ``span``, ``first``, ``first_span``.
+
+    Windows are shuffled once. A key that the sampled documents have often is dealt to SALTS parts; the
+    parts' smallest documents are then linked to the smallest of all, so that a chain joins every window.
     """
-    span = F.struct("doc", "left", "place", "right")
-    least = made.groupBy("key").agg(F.min(span).alias("least"), F.max("doc").alias("last")).where("last > least.doc").select("key", "least")
-    return made.join(least, "key").where("doc > least.doc").select(
-        "doc", F.col("least.doc").alias("first"), "left", "right", F.col("least.left").alias("first_left"), F.col("least.right").alias("first_right")
-    ).distinct()
+    often = checkpointed(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).select("key", F.lit(True).alias("often")))
+    salted = made.join(small_or_shuffled(often), "key", "left").select(
+        "key", F.when(F.col("often"), 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.lit(SALTS))).otherwise(F.lit(0)).alias("salt"), "doc", "span"
+    )
+    def to_least(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "span").mapInArrow(
+            _linked, "key long, salt long, doc long, span long, first long, first_span long"
+        )
+
+    found = checkpointed(to_least(salted))
+    # the least of each part of a frequent key, once more under one salt
+    tops = found.where("salt > 0 AND doc = first").select("key", F.lit(0).cast("long").alias("salt"), "doc", "span")
+    links = found.unionByName(to_least(tops)).where("doc > first")
+    return links.select("doc", "span", "first", "first_span").distinct()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of larger documents beside their run's first row; of salted runs, also that row itself."""
+    for rows in runs_of(batches, ["key", "salt"]):
+        new = starts_of(rows, ["key", "salt"])
+        at = np.flatnonzero(new)[np.cumsum(new) - 1]
+        doc, span, salt = (rows[c].to_numpy() for c in ("doc", "span", "salt"))
+        keep = (doc > doc[at]) | (new & (salt > 0))
+        names = ["key", "salt", "doc", "span", "first", "first_span"]
+        columns = [rows["key"].to_numpy()[keep], salt[keep], doc[keep], span[keep], doc[at][keep], span[at][keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def _long_enough(docs: DataFrame, least: int) -> DataFrame:
@@ -254,7 +285,7 @@ def _verified(docs: DataFrame, marks: DataFrame, least: int, share: float) -> Da
             for doc, first, spans, text, other in zip(*(batch[c] for c in ("doc", "first", "spans", "text", "first_text")), strict=True):
                 text, other = text.as_py(), other.as_py()
                 x, y = hasher.shingles(text), hasher.shingles(other)
-                got = aligned(x, y, [(s["left"], s["right"], s["first_left"], s["first_right"]) for s in spans.as_py()], least, share)
+                got = aligned(x, y, [(s["span"] >> 32, s["span"] & _LOW, s["first_span"] >> 32, s["first_span"] & _LOW) for s in spans.as_py()], least, share)
                 if got:
                     at, there = (np.array([m.span() for m in _WORD.finditer(t)]) for t in (text, other))
                     out += [
