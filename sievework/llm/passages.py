@@ -6,13 +6,12 @@ window (left, least, right), and each stretch within it that covers the least pl
 min-hash. Repeated passages have windows with one value in both documents, under every function. Windows
 meet by that value together with the shingle a fixed number of places to its left or right, which lies in
 the passage too, so that a common phrase alone makes no group. In a group all windows are linked to the one
-of the smallest document, never to each other; a document's windows that name one other document are joined
+of the smallest document, and each document to the one before it, never all to each other; a document's windows that name one other document are joined
 as intervals over all functions, and each joined passage is verified word by word.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,9 @@ BESIDE = 20
 SAMPLE, OFTEN, SALTS = 64, 8, 64
 _LOW = (1 << 32) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors, so that the order of words counts.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,20 +48,23 @@ class Hasher:
     MOST = 300_000
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
 
     def words(self, text: str | None) -> np.ndarray:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.MOST:
-            known.clear()
-        out = []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        if len(self.number) > self.MOST:
+            self.number, self.hashes = {}, np.zeros(0, np.uint64)
+        number = self.number
+        at = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))
+        if (missing := np.flatnonzero(at < 0)).size:
+            new = list(dict.fromkeys(found[i] for i in missing.tolist()))
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            if len(number) > self.hashes.size:
+                self.hashes = np.concatenate([self.hashes, np.zeros(max(len(number), 1 << 16), np.uint64)])
+            self.hashes[len(number) - len(new) : len(number)] = [xxhash.xxh3_64_intdigest(w) for w in new]
+            at[missing] = [number[found[i]] for i in missing.tolist()]
+        return self.hashes[at]
 
     def shingles(self, text: str | None, size: int = SHINGLE) -> np.ndarray:
         w = self.words(text)
@@ -70,8 +73,17 @@ class Hasher:
             return np.zeros(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for k in range(size):
-            h = _mixed(h + w[k : k + n] + _ODD * np.uint64(k + 1))
-        return h
+            h += w[k : k + n] * _FACTORS[k]
+        return _mixed(h)
+
+
+def word_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``text`` begins and ends, in code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(points.size + 2, bool)
+    inside[1:-1] = (points != 32) & ((points < 9) | (points > 13))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -160,6 +172,11 @@ def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int,
     return sorted(out)
 
 
+def _ends(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Left and right ends, here and there, of packed spans."""
+    return list(zip((own >> 32).tolist(), (own & _LOW).tolist(), (other >> 32).tolist(), (other & _LOW).tolist(), strict=True))
+
+
 def _parts(x: np.ndarray, y: np.ndarray, part: np.ndarray, least: int, share: float) -> Iterator[tuple[int, int, int, int]]:
     """Passages from the first to the last place of ``part`` or, where that does not count, of its halves about the widest gap."""
     order = np.argsort(y, kind="stable")
@@ -192,8 +209,8 @@ def passages(
     """``doc_id``, ``begin``, ``end`` (code points), ``first_doc_id``, ``is_first``: every passage that repeats.
 
     Passages of at least ``least`` words whose sets of five-word shingles resemble by ``share`` are near
-    duplicates (lower-cased words). Each is named with the smallest document that it was verified against;
-    the passage there is returned with ``is_first``. Passages of one document that overlap and name one
+    duplicates (lower-cased words). Each is named with a smaller document that it was verified against; the
+    passage there is returned with ``is_first``, which says no more than that another one names it. Passages of one document that overlap and name one
     document are one. Equal texts are compared once: the smallest id stands for them, and each other copy is
     a passage as a whole. Repeats inside one document are left alone. Whole texts are read. Null, empty and
     short texts have no passages; rows without an id are left out, and rows that repeat id and text count
@@ -248,19 +265,25 @@ def _met(made: DataFrame, sampled: DataFrame) -> DataFrame:
     # the least of each part of a frequent key, once more under one salt
     tops = found.where("salt > 0 AND doc = first").select("key", F.lit(0).cast("long").alias("salt"), "doc", "span")
     links = found.unionByName(to_least(tops)).where("doc > first")
-    return links.select("doc", "span", "first", "first_span").distinct()
+    return links.select("doc", "span", "first", "first_span")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of larger documents beside their run's first row; of salted runs, also that row itself."""
+    """Rows of larger documents beside their run's first row, and each such document beside the one before it.
+
+    The first may have the two shingles of a key in another context; then the one before often has the same.
+    Of salted runs, the first row itself is returned as well.
+    """
+    names = ["key", "salt", "doc", "span", "first", "first_span"]
     for rows in runs_of(batches, ["key", "salt"]):
-        new = starts_of(rows, ["key", "salt"])
+        new, begins = starts_of(rows, ["key", "salt"]), starts_of(rows, ["key", "salt", "doc"])
         at = np.flatnonzero(new)[np.cumsum(new) - 1]
-        doc, span, salt = (rows[c].to_numpy() for c in ("doc", "span", "salt"))
-        keep = (doc > doc[at]) | (new & (salt > 0))
-        names = ["key", "salt", "doc", "span", "first", "first_span"]
-        columns = [rows["key"].to_numpy()[keep], salt[keep], doc[keep], span[keep], doc[at][keep], span[at][keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        key, salt, doc, span = (rows[c].to_numpy() for c in names[:4])
+        keep = np.flatnonzero((doc > doc[at]) | (new & (salt > 0)))
+        third = np.flatnonzero(begins & (doc > doc[at]))
+        third = third[doc[third - 1] > doc[at][third]]
+        here, there = np.r_[keep, third], np.r_[at[keep], third - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[here], salt[here], doc[here], span[here], doc[there], span[there])], names=names)
 
 
 def _long_enough(docs: DataFrame, least: int) -> DataFrame:
@@ -274,22 +297,31 @@ def _long_enough(docs: DataFrame, least: int) -> DataFrame:
 
 def _verified(docs: DataFrame, marks: DataFrame, least: int, share: float) -> DataFrame:
     """The passages that the marked spans lead to, in code points of both texts."""
-    marked = small_or_shuffled(marks.select("doc").union(marks.select("first")).distinct())
-    texts = checkpointed(docs.join(marked, "doc", "left_semi"))
-    pairs = marks.join(texts, "doc").join(texts.select(F.col("doc").alias("first"), F.col("text").alias("first_text")), "first")
+    def texts(side: str) -> DataFrame:
+        """The texts of one side alone, read again rather than kept."""
+        return docs.select(F.col("doc").alias(side), F.col("text").alias(f"{side}_text")).join(
+            small_or_shuffled(checkpointed(marks.select(side).distinct())), side, "left_semi"
+        )
+
+    pairs = marks.join(texts("doc"), "doc").join(texts("first"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, kept, y, other = Hasher(), None, None, None
         for batch in batches:
             out = []
-            for doc, first, spans, text, other in zip(*(batch[c] for c in ("doc", "first", "spans", "text", "first_text")), strict=True):
-                text, other = text.as_py(), other.as_py()
-                x, y = hasher.shingles(text), hasher.shingles(other)
-                got = aligned(x, y, [(s["span"] >> 32, s["span"] & _LOW, s["first_span"] >> 32, s["first_span"] & _LOW) for s in spans.as_py()], least, share)
+            ends = batch["spans"].offsets.to_numpy()
+            span, there = (batch["spans"].values.field(k).to_numpy() for k in range(2))
+            for i, (doc, first, text, first_text) in enumerate(zip(*(batch[c] for c in ("doc", "first", "doc_text", "first_text")), strict=True)):
+                text, first = text.as_py(), first.as_py()
+                if first != kept:  # rows of one first document follow each other
+                    other = first_text.as_py()
+                    kept, y = first, hasher.shingles(other)
+                x = hasher.shingles(text)
+                got = aligned(x, y, _ends(span[ends[i] : ends[i + 1]], there[ends[i] : ends[i + 1]]), least, share)
                 if got:
-                    at, there = (np.array([m.span() for m in _WORD.finditer(t)]) for t in (text, other))
+                    (at, to), (at_there, to_there) = word_ends(text), word_ends(other)
                     out += [
-                        (doc.as_py(), first.as_py(), int(at[a, 0]), int(at[b + SHINGLE - 1, 1]), int(there[c, 0]), int(there[d + SHINGLE - 1, 1]))
+                        (doc.as_py(), first, int(at[a]), int(to[b + SHINGLE - 1]), int(at_there[c]), int(to_there[d + SHINGLE - 1]))
                         for a, b, c, d in got
                     ]
             if out:
@@ -298,7 +330,7 @@ def _verified(docs: DataFrame, marks: DataFrame, least: int, share: float) -> Da
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "first", "begin", "end", "first_begin", "first_end"]
                 )
 
-    cols = pairs.select("doc", "first", "spans", "text", "first_text")
+    cols = pairs.select("doc", "first", "spans", "doc_text", "first_text")
     return cols.mapInArrow(run, "doc long, first long, begin int, end int, first_begin int, first_end int")
 
 

@@ -190,3 +190,16 @@ def near_duplicates(
     return each.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of each group of near-duplicates.
+
+    Rows that repeat a kept id are one group with it, so one of them stays; rows with a null id stay
+    only where no row of their group has an id.
+    """
+    named = checkpointed(near_duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("__id"), "component_id"))
+    gone = checkpointed(named.where("NOT (__id <=> component_id)").select("__id").distinct())
+    kept = docs.join(small_or_shuffled(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
+    repeated = named.where("__id IS NOT NULL AND __id = component_id").groupBy("__id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
