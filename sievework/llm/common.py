@@ -119,10 +119,11 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (its smallest node) of every node that has a link to another.
 
-    Rounds of contraction: each node names its smallest neighbour or itself, links move to the
-    names, and the names that are left go on. A round keeps at most half of the linked nodes, so
-    there are at most log2(nodes) rounds; nothing is collected. All joins have one side that is
-    unique by key, so a hub's links can be split over tasks; minima are combined before shuffles.
+    Rounds of contraction: each node names its smallest neighbour or itself, names are followed up to
+    nodes that name themselves (a path of n names in log2(n) joins), links move there, and go on between
+    different ones. The neighbours of a node that names itself don't, so a round keeps at most half of the
+    linked nodes; nothing is collected. All joins have one side that is unique by key, so a hub's links can
+    be split over tasks; minima are combined before shuffles.
     Null nodes have no links. An empty input gives an empty result.
     """
     edges = checkpointed(
@@ -132,6 +133,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         name = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("name")))
+        moved = True
+        while moved:
+            up = name.select(F.col("node").alias("name"), F.col("name").alias("above"))
+            jumped = checkpointed(name.join(up, "name").select("node", "name", "above"))
+            moved = not jumped.where("above <> name").isEmpty()
+            name = jumped.select("node", F.col("above").alias("name"))
         found = name.select("node", F.col("name").alias("component")) if found is None else (
             found.join(name.select(F.col("node").alias("component"), "name"), "component", "left")
             .select("node", F.coalesce("name", "component").alias("component"))

@@ -125,11 +125,11 @@ def log_probabilities(p: dict, states: np.ndarray, out: np.ndarray) -> np.ndarra
     return got
 
 
-def train(net: Net, texts: list[np.ndarray], passes: int = 2, rate: float = 4e-3) -> Net:
+def train(net: Net, texts: list[np.ndarray], updates: int = 1500, rate: float = 4e-3) -> Net:
     """Truncated backpropagation by Adam: texts follow each other in parallel streams of windows.
 
-    The state passes from window to window, and is zero again after each text's end. Without texts the
-    net stays as it is.
+    The state passes from window to window, and is zero again after each text's end. There are two passes,
+    or as many, up to 30, as make so many ``updates``. Without texts the net stays as it is.
     """
     p, start = net.p, CLASSES * MEMBERS
     if not texts:
@@ -144,6 +144,7 @@ def train(net: Net, texts: list[np.ndarray], passes: int = 2, rate: float = 4e-3
     x = np.where(begin, start, np.c_[np.full(STREAMS, start), y[:, :-1]])
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     windows, k, done = -(-steps // WINDOW), HIDDEN, 0
+    passes = min(max(2, -(-updates // windows)), 30)
     for _ in range(passes):
         h = np.zeros((STREAMS, k), np.float32)
         for w in range(windows):
