@@ -155,11 +155,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found
 
 
+#: Rows that go to a Python worker at a time, where the session says no other number: texts can be long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def need(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns of ``df``, under the operator's own names.
 
-    Other columns of ``df`` can have any name, so they don't clash with those an operator makes.
+    Other columns of ``df`` can have any name, so they don't clash with those an operator makes. Where the
+    session has Spark's default of 10,000 rows for Arrow batches, it gets BATCH_ROWS.
     """
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 

@@ -45,7 +45,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of shingles; remembers the hashes of a fixed number of words."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}

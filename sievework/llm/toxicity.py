@@ -106,7 +106,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
 class Scorer:
     """Scores texts; remembers the weights of words up to a fixed number of them."""
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 200_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
