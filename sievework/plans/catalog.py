@@ -7,25 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions import stats
+from sievework.functions import geometry, hashing, stats, text
+from sievework.operators import documents as D
+from sievework.operators import relational as R
+from sievework.operators import statistics as S
+from sievework.streaming import queues
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def robust_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(
-        F.collect_list("value").alias("xs"), F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-    ).select(
-        "event_type", "n", F.round("mean", 6).alias("mean"),
-        F.round(F.coalesce(F.col("sd") / F.sqrt("n"), F.lit(0.0)), 6).alias("se"),
-        F.round(stats.trimmed_mean(F.col("xs")), 6).alias("trim20"),
-        F.round(stats.upper_median(F.col("xs")), 6).alias("upper_median"),
-    )
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with its SQL."""
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"robust_group_stats": robust_group_stats}
-ORACLE_SQL: dict[str, str] = {
-    "robust_group_stats": """
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    """Doubles rounded, as sums depend on the order of partitions in their last bits."""
+    return df.select(*[F.round(c, n).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+# --- statistics -----------------------------------------------------------------------------------------
+
+
+@query("""
 WITH r AS (
   SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
          count(*) OVER (PARTITION BY event_type) AS n
@@ -35,6 +51,503 @@ SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean,
        round(coalesce(stddev_samp(value) / sqrt(count(*)), 0), 6) AS se,
        round(avg(value) FILTER (WHERE n <= 2 * cut OR (i >= cut AND i < n - cut)), 6) AS trim20,
        round(max(value) FILTER (WHERE i = n // 2), 6) AS upper_median
-FROM c GROUP BY event_type
-"""
-}
+FROM c GROUP BY event_type""")
+def robust_group_stats(spark, sf_dir):
+    return rounded(S.cells(read(spark, sf_dir, "events"), ["event_type"], "value"))
+
+
+_POINTS = """p AS (
+  SELECT c_nationkey AS k, avg(c_acctbal) AS x, avg(o_totalprice) AS y
+  FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey)"""
+
+
+def _points(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey).groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("x"), F.avg("o_totalprice").alias("y"))
+
+
+@query(f"""WITH {_POINTS}
+SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept,
+       round(corr(x, y), 6) AS r, round(corr(x, y) * corr(x, y), 6) AS r2 FROM p""")
+def pearson_line(spark, sf_dir):
+    return S.line(_points(spark, sf_dir), "x", "y").select(
+        "n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r", 6).alias("r"), F.round("r2", 6).alias("r2"))
+
+
+@query(f"""WITH {_POINTS},
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+             rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)
+SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
+def spearman(spark, sf_dir):
+    return rounded(S.spearman(_points(spark, sf_dir), "x", "y"))
+
+
+@query(f"""WITH {_POINTS}
+SELECT count(*) FILTER (WHERE sign((a.x - b.x) * (a.y - b.y)) > 0) AS inversions, count(*) AS pairs
+FROM p a JOIN p b ON a.k < b.k""")
+def inversions(spark, sf_dir):
+    return S.inversions(_points(spark, sf_dir), "k", "x", "y")
+
+
+@query(f"""WITH {_POINTS},
+f AS (SELECT regr_slope(ln(y), ln(x)) AS b, regr_intercept(ln(y), ln(x)) AS la, avg(y) AS m FROM p WHERE x > 0 AND y > 0)
+SELECT round(exp(la), 3) AS a, round(b, 6) AS b, round(1 - sum((y - exp(la) * x ** b) ** 2) / sum((y - m) ** 2), 6) AS r2
+FROM p, f WHERE x > 0 AND y > 0 GROUP BY la, b""")
+def power_law(spark, sf_dir):
+    return S.power_law(_points(spark, sf_dir), "x", "y").select(F.round("a", 3).alias("a"), F.round("b", 6).alias("b"), F.round("r2", 6).alias("r2"))
+
+
+@query()
+def saturation_fit(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.month("o_orderdate").cast("double").alias("x")).agg(F.avg("o_totalprice").alias("y"))
+    return rounded(S.saturation_by(o, ["o_orderpriority"], "x", "y"), 3)
+
+
+@query()
+def bootstrap_rank(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("unit", F.col("o_custkey") % 200)
+    goal = o.groupBy("o_orderpriority").agg(F.avg("o_orderkey").alias("t"))
+    return rounded(S.bootstrap(o, "unit", ["o_orderpriority"], "o_totalprice", goal, "t", replicates=1000))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT user_id FROM events),
+e AS (SELECT user_id, r AS replicate, row_number() OVER (PARTITION BY r ORDER BY sha256(r::VARCHAR || '|' || user_id::VARCHAR)[1:13], user_id) AS place
+      FROM u, range(0, 3) t(r))
+SELECT size, replicate::INT AS replicate, round(avg(value), 6) AS mean, count(*) AS n
+FROM events JOIN e USING (user_id), (VALUES (5), (20)) s(size) WHERE place <= size GROUP BY ALL""")
+def n_scaling(spark, sf_dir):
+    s = S.subsample(read(spark, sf_dir, "events"), "user_id", [5, 20], 3)
+    return rounded(s.groupBy("size", "replicate").agg(F.avg("value").alias("mean"), F.count("value").alias("n")))
+
+
+@query("""
+WITH s AS (SELECT min(p_retailprice) AS lo, avg(p_retailprice) AS m FROM part)
+SELECT p_partkey, round(p_retailprice * p_retailprice / m, 4) AS squared, round((p_retailprice / m) ** 1.5, 6) AS power_1_5,
+       round(p_retailprice * exp((p_retailprice - lo) / 200.0), 2) AS tail
+FROM part, s""")
+def metric_candidates(spark, sf_dir):
+    c = S.candidates(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
+    return c.select("p_partkey", F.round("squared", 4).alias("squared"), F.round("power_1_5", 6).alias("power_1_5"), F.round("tail", 2).alias("tail"))
+
+
+@query("""
+WITH d AS (SELECT date_trunc('month', o_orderdate) AS m, avg(o_totalprice) AS v FROM orders GROUP BY 1),
+s AS (SELECT v - lag(v) OVER (ORDER BY m) AS d FROM d)
+SELECT count(*) FILTER (WHERE d > 0) AS violations, round(sum(greatest(d, 0)), 4) AS total FROM s""")
+def monotonic_violations(spark, sf_dir):
+    m = read(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("v"))
+    return rounded(S.rising_steps(m, "m", "v"), 4)
+
+
+@query("""
+SELECT l.doc_id, round(CASE WHEN p = 0 AND r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS f_half
+FROM (SELECT doc_id, (quality + toxic) / 2.0 AS p, quality::DOUBLE AS r FROM labels) l JOIN documents USING (doc_id)""")
+def fbeta_by_doc(spark, sf_dir):
+    masks = read(spark, sf_dir, "labels").select(
+        "doc_id", F.array(*[F.when(F.col(c) == 1, "YES").otherwise("NO") for c in ("quality", "toxic")]).alias("cp"), F.array(F.when(F.col("quality") == 1, "YES").otherwise("NO")).alias("sr"))
+    f = S.f_beta(S.yes_share(F.col("cp"), F.col("cp")), S.yes_share(F.col("sr"), F.col("sr")))
+    return masks.join(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.round(f, 6).alias("f_half"))
+
+
+# --- keys, sampling, duplicates, shards -----------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, text, sha1(source::BLOB || '\\x00'::BLOB || encode(text)) AS cap_key FROM documents),
+m AS (SELECT DISTINCT cap_key, n_chars FROM (SELECT sha1(source::BLOB || '\\x00'::BLOB || encode(text)) AS cap_key, n_chars FROM documents WHERE doc_id % 3 = 0))
+SELECT doc_id, d.cap_key, m.n_chars FROM d JOIN m USING (cap_key)""")
+def cap_key_join(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("cap_key", hashing.caption_key(F.col("source"), F.col("text")))
+    m = d.where("doc_id % 3 = 0").select("cap_key", "n_chars").distinct()
+    return d.select("doc_id", "cap_key").join(m, "cap_key")
+
+
+@query("""
+SELECT doc_id, ('0x' || right(sha256(doc_id::VARCHAR || '_0'), 8))::BIGINT & 2147483647 AS seed,
+       'img_' || left(sha1(source), 16) AS uid,
+       CASE WHEN u < 0.5 THEN 'l10' WHEN u < 0.8 THEN 'l8' ELSE 'l5' END AS level
+FROM (SELECT *, ('0x' || left(sha256('level|' || doc_id::VARCHAR), 13))::BIGINT / 4503599627370496.0 AS u FROM documents)""")
+def stable_seed(spark, sf_dir):
+    u = hashing.uniform(F.concat(F.lit("level|"), F.col("doc_id").cast("string")))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", hashing.rollout_seed(F.col("doc_id"), F.lit(0)).alias("seed"), hashing.image_uid(F.col("source")).alias("uid"),
+        hashing.weighted(u, [("l10", 5.0), ("l8", 3.0), ("l5", 2.0)]).alias("level"))
+
+
+_KEEP = "least(greatest(0.001 + 0.998 * 0.7 * exp(-1.5 * (i - 1) / (n - 1)), 0.001), 0.999)"
+
+
+@query(f"""
+WITH k AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, i::INT AS place, round(CASE WHEN n = 1 THEN 1.0 ELSE {_KEEP} END, 9) AS p
+FROM (SELECT l_orderkey, n, unnest(range(1, n + 1)) AS i FROM k)""")
+def keep_probabilities(spark, sf_dir):
+    k = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    p = k.select("l_orderkey", F.posexplode(hashing.keep_probabilities(F.col("n").cast("int"), 0.7, 1.5)).alias("i", "p"))
+    return p.select("l_orderkey", (F.col("i") + 1).alias("place"), F.round("p", 9).alias("p"))
+
+
+@query("SELECT source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def dedupe_first(spark, sf_dir):
+    return R.first_of(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
+
+
+@query("SELECT source, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def dedupe_last(spark, sf_dir):
+    return R.first_of(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], last=True)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
+def dedupe_content(spark, sf_dir):
+    return R.distinct_content(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["text", "lang"], ["doc_id"]).select("doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark, sf_dir):
+    return R.remaining(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT event_id, event_id // 100 AS shard_id FROM events WHERE (event_id // 100) % 4 = 1 AND event_id // 100 NOT IN (SELECT item_id FROM benchmark)")
+def shard_plan(spark, sf_dir):
+    done = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("shard_id"))
+    return R.shard_plan(read(spark, sf_dir, "events").select("event_id"), "event_id", 100, 4, 1, done)
+
+
+@query("SELECT lang, count(*) AS n, count(quality) AS found FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def join_misses(spark, sf_dir):
+    m = R.with_misses(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels"), ["doc_id"])
+    return m.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"))
+
+
+# --- series ---------------------------------------------------------------------------------------------
+
+_TRAJECTORY = """s AS (
+  SELECT event_type AS run, user_id % 2 AS file, event_id AS step, event_id % 7 - 1 AS tokens,
+         CASE WHEN event_id % 3 = 0 THEN value END AS loss FROM events),
+t AS (SELECT run, step, sum(CASE WHEN tokens > 0 THEN tokens ELSE 0 END) OVER (PARTITION BY run ORDER BY file, step) AS cum,
+             last_value(loss IGNORE NULLS) OVER (PARTITION BY run, file ORDER BY step ROWS UNBOUNDED PRECEDING) AS loss FROM s)"""
+
+
+def _trajectory(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"), (F.col("user_id") % 2).alias("file"), F.col("event_id").alias("step"),
+        (F.col("event_id") % 7 - 1).cast("double").alias("tokens"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("loss"))
+    return R.trajectory(e, "run", "file", "step", "tokens", "loss")
+
+
+@query(f"WITH {_TRAJECTORY} SELECT run, step, cum::DOUBLE AS cum, round(loss, 6) AS loss FROM t WHERE cum > 0 AND loss IS NOT NULL")
+def cumulative_budget(spark, sf_dir):
+    return rounded(_trajectory(spark, sf_dir).select("run", "step", "cum", "loss"))
+
+
+@query(f"""WITH {_TRAJECTORY}, k AS (SELECT * FROM t WHERE cum > 0 AND loss IS NOT NULL),
+b AS (SELECT min(m) AS budget FROM (SELECT max(cum) AS m FROM k GROUP BY run)),
+n AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY loss) - 1 AS i, count(*) OVER (PARTITION BY run) AS c
+      FROM k, b WHERE cum BETWEEN budget * 0.98 AND budget * 1.02)
+SELECT run, round(max(loss) FILTER (WHERE i = c // 2), 6) AS loss FROM n GROUP BY run""")
+def smoothed_at_budget(spark, sf_dir):
+    series = _trajectory(spark, sf_dir)
+    both = series.crossJoin(F.broadcast(R.unified_budget(series, "run")))  # one row
+    return rounded(R.smoothed_at(both, "run", F.col("budget")))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT user_id % 5 AS g, event_id // 3 * 2 + event_id % 2 AS v FROM events),
+k AS (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS k FROM d)
+SELECT g, min(v) AS first, max(v) AS last, count(*) AS length FROM k GROUP BY g, k""")
+def islands(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("g"), (F.floor(F.col("event_id") / 3) * 2 + F.col("event_id") % 2).alias("v"))
+    return R.islands(e, "g", "v")
+
+
+# line numbers repeat inside some orders: one row for each is what order-dependent queries work on
+_LINES = "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL"
+
+
+def _lines(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER w - l_quantity AS begin, sum(l_quantity) OVER w AS end FROM ({_LINES}) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)")
+def segment_offsets(spark, sf_dir):
+    return R.offsets(_lines(spark, sf_dir).drop("l_partkey"), "l_orderkey", "l_linenumber", "l_quantity").drop("l_quantity")
+
+
+# --- roll-ups -------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH g AS (SELECT event_type, count(*) FILTER (WHERE value > 50) AS c, count(*) AS n FROM events GROUP BY 1)
+SELECT round(sum(c) / sum(n), 9) AS micro, round(avg(c / n), 9) AS macro, count(*) AS groups FROM g""")
+def micro_macro_accuracy(spark, sf_dir):
+    return rounded(R.micro_macro(read(spark, sf_dir, "events"), "event_type", F.coalesce(F.col("value") > 50, F.lit(False))), 9)
+
+
+@query("""
+SELECT round(sum(w * m), 6) AS overall FROM (SELECT o_orderpriority AS k, avg((0.7 * 2 + 0.2 * (o_orderkey % 3) + 0.1 * (o_custkey % 3)) / 2) AS m FROM orders GROUP BY 1)
+JOIN (VALUES ('1-URGENT', 0.4), ('2-HIGH', 0.3), ('3-MEDIUM', 0.1), ('4-NOT SPECIFIED', 0.1), ('5-LOW', 0.1)) v(k, w) USING (k) HAVING count(*) = 5""")
+def weighted_rollup(spark, sf_dir):
+    w = {"1-URGENT": 0.4, "2-HIGH": 0.3, "3-MEDIUM": 0.1, "4-NOT SPECIFIED": 0.1, "5-LOW": 0.1}
+    m = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg(R.wiscore(F.lit(2), F.col("o_orderkey") % 3, F.col("o_custkey") % 3)).alias("m"))
+    out = rounded(R.weighted_overall(m, "o_orderpriority", "m", w))
+    return out.where("overall IS NOT NULL")
+
+
+@query("SELECT l_returnflag AS l1, l_linestatus AS l2, round(avg(l_discount), 9) AS mean, count(l_discount) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def hierarchy(spark, sf_dir):
+    return rounded(R.two_levels(read(spark, sf_dir, "lineitem"), F.col("l_returnflag"), F.col("l_linestatus"), "l_discount"), 9)
+
+
+@query("""
+SELECT l_returnflag, round(avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 9) AS F, round(avg(l_tax) FILTER (WHERE l_linestatus = 'O'), 9) AS O
+FROM lineitem GROUP BY 1""")
+def accuracy_pivot(spark, sf_dir):
+    return rounded(read(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_tax")), 9)
+
+
+@query("SELECT p_size, round(exp(avg(ln(p_retailprice))), 6) AS gmean FROM part GROUP BY p_size")
+def gmean_by_size(spark, sf_dir):
+    return rounded(read(spark, sf_dir, "part").groupBy("p_size").agg(R.geometric_mean(F.col("p_retailprice")).alias("gmean")))
+
+
+_ASKED = f"SELECT l_orderkey, l_linenumber, (l_partkey % 3 > 0)::INT::DOUBLE AS score FROM ({_LINES})"
+
+
+def _asked(spark, sf_dir):
+    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3 > 0).cast("int").cast("double").alias("score"), F.array(F.col("l_linenumber") - 1).alias("parents"))
+
+
+@query(f"""WITH a AS ({_ASKED})
+SELECT a.l_orderkey, a.l_linenumber, CASE WHEN p.score = 0 THEN 0.0 ELSE a.score END AS score
+FROM a LEFT JOIN a p ON p.l_orderkey = a.l_orderkey AND p.l_linenumber = a.l_linenumber - 1""")
+def dependency_plain(spark, sf_dir):
+    return R.zero_dependents(_asked(spark, sf_dir), "l_orderkey", "l_linenumber", "parents", "score").select("l_orderkey", "l_linenumber", "score")
+
+
+@query(f"""WITH a AS ({_ASKED}),
+g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM a)
+SELECT l_orderkey, l_linenumber, min(score) OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber) AS score FROM g""")
+def dependency_cascade(spark, sf_dir):
+    q = _asked(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("question"), "parents", "score"))).alias("qs"))
+    done = q.select("l_orderkey", F.explode(R.zero_dependents_in_order(F.col("qs"))).alias("d"))
+    return done.select("l_orderkey", F.col("d.question").alias("l_linenumber"), F.col("d.score").alias("score"))
+
+
+@query("SELECT r AS item_id FROM range(0, 301) t(r) WHERE r NOT IN (SELECT item_id FROM benchmark)")
+def missing_ids(spark, sf_dir):
+    return R.missing_ids(read(spark, sf_dir, "benchmark"), "item_id", 0, 300)
+
+
+@query("""
+SELECT round(1 - least(100, avg(l_quantity)) * (1 - avg((l_returnflag = 'N')::INT)) * (1 - sum(l_linenumber) / sum(l_linenumber + 2)) / 100, 9) AS score FROM lineitem""")
+def text_rollup(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    return rounded(l.agg(R.text_score(F.col("l_quantity"), (F.col("l_returnflag") == "N").cast("int"), F.col("l_linenumber"), F.col("l_linenumber") + 2, 100).alias("score")), 9)
+
+
+@query("""
+SELECT bucket::BIGINT AS bucket, round(sum(v), 4) AS total, count(v) AS n, round(avg(v), 6) AS mean
+FROM (SELECT floor(l_partkey % 1100 / 100.0) AS bucket, l_discount AS v, l_partkey % 1100 AS t FROM lineitem) WHERE t < 1000 GROUP BY 1""")
+def loss_buckets(spark, sf_dir):
+    h = R.loss_histogram(read(spark, sf_dir, "lineitem").withColumn("t", F.col("l_partkey") % 1100), "t", "l_discount")
+    return h.select("bucket", F.round("total", 4).alias("total"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query("""
+WITH r AS (SELECT label, embedding FROM embeddings WHERE vec_id < 20)
+SELECT e.vec_id, e.label, round(greatest(0, max(list_sum(list_transform(list_zip(e.embedding, r.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)))), 6) AS score
+FROM embeddings e JOIN r USING (label) GROUP BY e.vec_id, e.label""")
+def style_max_product(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return rounded(R.style_score(e, e.where("vec_id < 20").select("label", "embedding"), ["vec_id"], "embedding", "label"))
+
+
+@query("""
+SELECT o_orderkey, round_even(list_sum([CASE WHEN (o_orderkey + i) % 4 > 0 THEN [0.25, 0.5, 0.2, 0.05][i] ELSE 0.0 END FOR i IN [1, 2, 3, 4]]), 4)::DOUBLE AS semantic,
+       ((o_orderkey % 4 = 9) AND true)::INT AS strict
+FROM orders""")
+def exam_scores(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    answers = F.array(*[((F.col("o_orderkey") + i) % 4 > 0).cast("int") for i in (1, 2, 3, 4)])
+    s = R.exam_scores(F.array(*map(F.lit, (0.25, 0.5, 0.2, 0.05))), answers, F.lit(2), F.lit(2), F.lit(2))
+    return o.select("o_orderkey", s.alias("s")).select("o_orderkey", "s.semantic", "s.strict")
+
+
+# --- text and geometry ----------------------------------------------------------------------------------
+
+_ASCII = "text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
+
+
+def _ascii(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@query(f"""
+SELECT doc_id, length(text) BETWEEN 200 AND 15000 AS length_ok,
+       len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS n_the,
+       regexp_matches(text, '[0-9]{{2,}}') OR regexp_matches(lower(text), '{text.SPECIFICS}') AS specific,
+       regexp_matches(lower(text), '{"|".join(text.LEAKS)}') OR len(regexp_extract_all(text, '\\{{[^}}]{{200,}}\\}}')) >= 2 AS leak
+FROM documents WHERE {_ASCII}""")
+def trace_gates(spark, sf_dir):
+    t = F.col("text")
+    return _ascii(spark, sf_dir).select(
+        "doc_id", text.length_within(t).alias("length_ok"), F.regexp_count(t, F.lit(r"(?i)\bthe\b")).alias("n_the"),
+        text.specific(t).alias("specific"), text.leaks_reference(t).alias("leak"))
+
+
+@query(f"""
+WITH d AS (SELECT lang, doc_id, text, length(text) AS n, string_split(text, '. ') AS parts FROM documents WHERE {_ASCII}),
+s AS (SELECT lang, doc_id, CASE WHEN n BETWEEN 800 AND 4000 THEN 2.0 WHEN n BETWEEN 500 AND 6000 THEN 1.0 ELSE 0.0 END
+      + least(len(regexp_extract_all(lower(text), 'bbox|position|coord')), 5) * 0.3 + least(len(regexp_extract_all(text, '[0-9]{{2,}}')), 10) * 0.2
+      + least(len(regexp_extract_all(lower(text), '{text.DECISIONS}')), 8) * 0.3
+      + CASE WHEN len(parts) > 3 THEN len(list_distinct([lower(left(p, 30)) FOR p IN parts IF length(p) > 30])) / len(parts) * 2.0 ELSE 0.0 END AS score FROM d)
+SELECT lang, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, doc_id) <= 5""")
+def reasoning_topk(spark, sf_dir):
+    d = _ascii(spark, sf_dir).withColumn("score", text.reasoning_score(F.col("text")))
+    return rounded(R.top_k(d.select("lang", "doc_id", "score"), ["lang"], F.round("score", 9), ["doc_id"], 5))
+
+
+@query("""
+SELECT a.item_id AS a, b.item_id AS b, levenshtein(left(a.text, 60), left(b.text, 60)) AS edits,
+       round(levenshtein(left(a.text, 60), left(b.text, 60)) / greatest(length(left(a.text, 60)), length(left(b.text, 60))), 6) AS share
+FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id
+WHERE NOT regexp_matches(a.text || b.text, '[^\\x00-\\x7F]')""")
+def edit_distance(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.expr("a + 1 = b"))
+    x, y = F.left("x", F.lit(60)), F.left("y", F.lit(60))
+    return pairs.where(~F.concat("x", "y").rlike(r"[^\x00-\x7F]")).select("a", "b", F.levenshtein(x, y).alias("edits"), F.round(text.edit_share(x, y), 6).alias("share"))
+
+
+@query("""
+WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id),
+x AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(x, '\\S+')) AS w FROM p) GROUP BY ALL),
+y AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(y, '\\S+')) AS w FROM p) GROUP BY ALL)
+SELECT x.item_id, sum(least(x.n, coalesce(y.n, 0)))::INT AS matched, round(sum(least(x.n, coalesce(y.n, 0))) / sum(x.n), 6) AS ratio
+FROM x LEFT JOIN y USING (item_id, w) GROUP BY 1""")
+def multiset_match(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y"))
+    m = b.join(nxt, "item_id").select("item_id", text.multiset_match(F.col("text"), F.col("y")).alias("m"))
+    return m.select("item_id", "m.matched", F.round("m.ratio", 6).alias("ratio"))
+
+
+_BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey % 500 AS x1, l_suppkey % 400 AS y1,
+  l_partkey % 500 + 20 + (l_quantity * 5)::INT AS x2, l_suppkey % 400 + 30 + (l_quantity * 3)::INT AS y2 FROM lineitem)"""
+
+
+def _boxes(spark, sf_dir):
+    q = F.col("l_quantity")
+    x, y = F.col("l_partkey") % 500, F.col("l_suppkey") % 400
+    box = F.array(*[c.cast("int") for c in (x, y, x + 20 + F.round(q * 5).cast("int"), y + 30 + F.round(q * 3).cast("int"))])
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+
+
+@query(f"""WITH {_BOXES}, p AS (
+  SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+         (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+  FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
+SELECT l_orderkey, a, b, round(i / (s - i), 9) AS iou FROM p""")
+def iou_pairs(spark, sf_dir):
+    p = R.unordered_pairs(_boxes(spark, sf_dir), "l_orderkey", "l_linenumber", "box")
+    return p.select("l_orderkey", "a", "b", F.round(geometry.iou(F.col("a_value"), F.col("b_value")), 9).alias("iou"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber FROM (SELECT *, (l_quantity + 1) / (l_linenumber * 6) AS av, l_tax * 25 + 0.1 AS cv FROM lineitem)
+WHERE NOT ((av > 1.05 AND cv < 0.95) OR (av < 0.95 AND cv > 1.05))""")
+def ratio_flip(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    return l.where(~geometry.flipped(F.col("l_quantity") + 1, F.col("l_linenumber") * 6, F.col("l_tax") * 25 + 0.1)).select("l_orderkey", "l_linenumber")
+
+
+@query()
+def bucket_sizes(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", geometry.bucket_size(F.col("p_size") / (F.col("p_partkey") % 9 + 1), 1024).alias("s"))
+    return p.select("p_partkey", F.col("s.w").cast("int").alias("width"), F.col("s.h").cast("int").alias("height"))
+
+
+# --- ranking, packing, conversations --------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b,
+  (CASE WHEN a.l_partkey % 5 = 0 THEN 0.5 WHEN a.l_quantity > b.l_quantity THEN 0.95 ELSE 0.05 END + 1
+   - CASE WHEN b.l_quantity > a.l_quantity THEN 0.95 WHEN b.l_quantity = a.l_quantity THEN 0.5 ELSE 0.05 END) / 2 AS y
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
+SELECT l_orderkey, a, b, round(y, 6) AS y, CASE WHEN round(y, 6) > 0.5 THEN 'A' WHEN round(y, 6) < 0.5 THEN 'B' ELSE 'TIE' END AS winner FROM p""")
+def pair_symmetrise(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_partkey", "l_quantity").alias("v"))
+    p = R.unordered_pairs(l, "l_orderkey", "l_linenumber", "v")
+    qa, qb = F.col("a_value.l_quantity"), F.col("b_value.l_quantity")
+    fwd = F.when(F.col("a_value.l_partkey") % 5 != 0, F.when(qa > qb, 0.95).otherwise(0.05))
+    y = F.round(R.symmetric(fwd, F.when(qb > qa, 0.95).when(qb != qa, 0.05)), 6)
+    return p.select("l_orderkey", "a", "b", y.alias("y"), R.winner(y).alias("winner"))
+
+
+@query("""
+SELECT l_suppkey, min(l_returnflag) AS choice FROM (SELECT l_suppkey, l_linestatus, l_returnflag FROM lineitem WHERE l_linenumber = 1)
+GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 2 AND min(l_returnflag) = max(l_returnflag)""")
+def judge_agree(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_linestatus", F.col("l_returnflag").alias("choice"))
+    return R.agreeing(l, "l_suppkey", "l_linestatus", "choice", 2)
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n_done, sum(ok) AS n_valid FROM (SELECT l_orderkey, l_linenumber, max((l_returnflag <> 'R')::INT) AS ok FROM lineitem GROUP BY ALL)
+GROUP BY 1 HAVING count(*) >= 4 AND sum(ok) >= 2""")
+def completion_emit(spark, sf_dir):
+    return R.completed(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") != "R", 4)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag <> 'R' THEN l_discount ELSE '-inf'::DOUBLE END DESC, l_returnflag <> 'R' DESC, l_linenumber)::INT AS rank
+FROM lineitem""")
+def candidate_rank(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").withColumn("valid", F.col("l_returnflag") != "R")
+    return R.ranked(l, "l_orderkey", "l_discount", "valid", "l_linenumber").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query()
+def pairwise_ratings(spark, sf_dir):
+    return rounded(D.rate_groups(pair_symmetrise(spark, sf_dir), "l_orderkey"))
+
+
+@query()
+def pack_greedy(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 500).alias("shard"), "doc_id", (F.floor(F.col("n_chars") / 4) + 4).cast("int").alias("cost"))
+    return D.pack_shards(d, "shard", "doc_id", "cost")
+
+
+@query("""
+SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS packed FROM conversations GROUP BY conv_id""")
+def chat_pack(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t")))).alias("ts"))
+    return c.select("conv_id", "n_turns", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("packed"))
+
+
+@query()
+def canonical_props(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", D.mapped(F.col("props"), D.canonical).alias("canonical"), D.mapped(F.col("props"), D.single_quoted).alias("single_quoted"))
+
+
+# --- queues ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) >= 86400")
+def stale_claims(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    return queues.stale(e.crossJoin(F.broadcast(now)), F.col("ts"), F.col("now"), 86400).select("event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def queue_depth(spark, sf_dir):
+    return queues.depth(read(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def hourly_windows(spark, sf_dir):
+    return rounded(queues.windowed(read(spark, sf_dir, "events"), "ts", "event_type", "value"))

@@ -14,15 +14,18 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict:
     """Records of JSON lines; a bad line is an error, or passed over if not ``strict``. Blank lines are passed over."""
     if strict:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    rows = spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    return _parsed(spark, path, schema).where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
+
+
+def _parsed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """``file``, ``line`` and the record ``r`` of every line that is not blank."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
+    return rows.withColumn("r", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
 
 
 def corrupt_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """What :func:`json_lines` passes over: the bad lines and their files, for quarantine."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return rows.withColumn("r", parsed).where("r._corrupt_record IS NOT NULL").select("file", F.col("value").alias("line"))
+    return _parsed(spark, path, schema).where("r._corrupt_record IS NOT NULL").select("file", "line")
 
 
 def required(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -106,9 +109,6 @@ def _unified(rows: DataFrame, benchmark: str, key: Column, category: Column, pro
     return rows.select(key.cast("string").alias("id"), F.lit(benchmark).alias("benchmark"), category.cast("string").alias("category"), F.col(prompt).alias("prompt"), *more)
 
 
-_NONE = F.lit
-
-
 def _field(name: str) -> Column:
     return F.get_json_object("value", f"$['{name}']")
 
@@ -119,7 +119,7 @@ def _by_line(spark: SparkSession, path: str, benchmark: str, key: Column, catego
 
 
 def load_prompts(spark: SparkSession, benchmark: str, path: str) -> DataFrame:
-    """Prompts of a benchmark as ``id, benchmark, category, prompt``; an unknown name is an error."""
+    """Prompts of a benchmark as ``id, benchmark, category, prompt`` (and a size where it has one); an unknown name is an error."""
     null, line = F.lit(None), F.col("line")
     by_line = {
         "geneval2": (line, null, "prompt"),
@@ -127,20 +127,15 @@ def load_prompts(spark: SparkSession, benchmark: str, path: str) -> DataFrame:
         "geneval": (F.lpad(line.cast("string"), 5, "0"), _field("tag"), "prompt"),
         "genexam": (_field("id"), F.nullif(F.substring_index(F.coalesce(_field("taxonomy"), F.lit("")), "/", 1), F.lit("")), "prompt"),
         "textbench": (_field("prompt_id"), _field("length"), "prompt"),
-        "infograph": (_field("id"), null, "prompt"),
         "corebench": (_field("ID"), F.concat(F.coalesce(_field("Main Class"), F.lit("")), F.lit("/"), F.coalesce(_field("Sub Class"), F.lit(""))), "Prompt"),
         **{n: (_field("id"), _field("category"), "original_prompt") for n in ("sp_l10_200", "sp_sft_200", "sp_rl_200")},
     }
     if benchmark in by_line:
         name = "sp_l10_200" if benchmark.startswith("sp_") else benchmark
-        out = _by_line(spark, path, name, *by_line[benchmark])
-        if benchmark == "infograph":
-            rows = numbered_lines(spark, path).withColumn("__prompt", _field("prompt"))
-            return _unified(rows, name, _field("id"), null, "__prompt").withColumns({}) if False else rows.select(
-                _field("id").alias("id"), F.lit(name).alias("benchmark"), null.cast("string").alias("category"), F.col("__prompt").alias("prompt"),
-                _field("width").cast("int").alias("width"), _field("height").cast("int").alias("height"),
-            )
-        return out
+        return _by_line(spark, path, name, *by_line[benchmark])
+    if benchmark == "infograph":
+        rows = numbered_lines(spark, path).withColumns({"__prompt": _field("prompt"), "width": _field("width").cast("int"), "height": _field("height").cast("int")})
+        return _unified(rows, benchmark, _field("id"), null, "__prompt", "width", "height")
     if benchmark == "dpgbench":
         rows = csv_text(spark, path).withColumn("__n", F.monotonically_increasing_id())
         first = rows.groupBy("item_id").agg(F.min_by("text", "__n").alias("text"))
@@ -157,7 +152,7 @@ def load_prompts(spark: SparkSession, benchmark: str, path: str) -> DataFrame:
     if benchmark in ("tiif_testmini_short", "tiif_testmini_long"):
         whole = load_prompts(spark, benchmark.replace("testmini_", ""), f"{path}/test_prompts/*_prompts.jsonl")
         chosen = spark.read.text(f"{path}/testmini_sample_idx.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("type", "ids"))
-        ids = chosen.select(F.concat(F.col("type"), F.lit("/"), F.explode("ids").cast("string")).alias("id")) if False else chosen.select("type", F.explode("ids").alias("i")).select(F.concat_ws("/", "type", F.col("i").cast("string")).alias("id"))
+        ids = chosen.select("type", F.explode("ids").alias("i")).select(F.concat_ws("/", "type", F.col("i").cast("string")).alias("id"))
         return whole.join(ids.distinct(), "id", "left_semi").withColumn("benchmark", F.lit(benchmark))
     if benchmark in ("alignment_v5", "alignment_v5_long"):
         rows = numbered_lines(spark, path).withColumn("value", F.trim("value")).where(F.contains("value", F.lit("\t")))

@@ -54,7 +54,7 @@ def completions(events: DataFrame, index: str, image: str, ok: str, expected: in
 
 def stale(claims: DataFrame, claimed_at: Column, now: Column, seconds: float) -> DataFrame:
     """Claims that are at least so old, to be put back."""
-    return claims.where(now.cast("double") - claimed_at.cast("double") >= seconds)
+    return claims.where(now.cast("timestamp").cast("double") - claimed_at.cast("timestamp").cast("double") >= seconds)
 
 
 def depth(tasks: DataFrame, state: str) -> DataFrame:

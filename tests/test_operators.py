@@ -1,0 +1,192 @@
+"""Operators of the reference's kind: small cases worked out by hand, and definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sievework.functions import geometry, hashing, stats, text
+from sievework.operators import documents as D
+from sievework.operators import relational as R
+from sievework.operators import statistics as S
+from sievework.plans import catalog
+from sievework.sources import records
+from sievework.streaming import queues
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).collect()[0]
+
+
+def test_trimmed_mean_and_upper_median(spark):
+    for n in (1, 2, 3, 4, 5, 7, 10, 11, 25):
+        xs = [float(x) for x in np.random.default_rng(n).permutation(n) ** 2]
+        got = one(spark, t=stats.trimmed_mean(F.array(*map(F.lit, xs))), m=stats.upper_median(F.array(*map(F.lit, xs))))
+        assert got.t == pytest.approx(S.trimmed(np.array(xs))) and got.m == sorted(xs)[n // 2]
+    empty = one(spark, t=stats.trimmed_mean(F.array().cast("array<double>")), m=stats.upper_median(F.array().cast("array<double>")))
+    assert empty.t is None and empty.m is None
+
+
+def test_degenerate_points(spark):
+    p = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.0, 3.0)], "k int, x double, y double")
+    assert S.line(p, "x", "y").collect()[0].r == 0 and S.inversions(p, "k", "x", "y").collect()[0].inversions == 0
+    assert S.spearman(p.limit(0), "x", "y").collect()[0].rho in (None, 0)
+    assert S.saturation(np.ones(9), np.arange(9.0)) is None
+    x = np.linspace(0, 4, 12)
+    f, a, k, r2 = S.saturation(x, 2 + 3 * np.exp(-1.3 * x))
+    assert (f, a, k, r2) == pytest.approx((2, 3, 1.3, 1), abs=1e-4)
+
+
+def test_hashes(spark):
+    got = one(spark, s=hashing.rollout_seed(F.lit(7), F.lit(2)), k=hashing.caption_key(F.lit("u1"), F.lit("héé")), u=hashing.uniform(F.lit("a|1")))
+    assert got.s == int(hashlib.sha256(b"7_2").hexdigest(), 16) % 2**31
+    assert got.k == hashlib.sha1(b"u1\0" + "héé".encode()).hexdigest() and got.u == D.chance("a", 1)
+
+
+def test_text_rules(spark):
+    opener = "Here is the reasoning trace for it:\n---\n**\nReal text."
+    got = one(
+        spark, a=text.without_boilerplate(F.lit(opener)), b=text.without_tags(F.lit("<think>x</g>think> {\"a\":1}")),
+        c=text.forward_parts(F.lit("why\n```json\n{}\n```")), d=text.analysis_parts(F.lit("```json\n<analysis> a </analysis> x {\"b\":2}\n```")),
+        e=text.normal_ocr(F.lit("Hi,  you!")), f=text.normal_ocr(F.lit("你 好!")), g=text.quoted_text(F.lit('a "B c" d')),
+        h=text.yes_no(F.lit("Yes\nno\n maybe"), F.lit(2)), i=text.ratio_in(F.lit('<analysis>q</analysis>{"ratio": "16:9"}')),
+        j=text.coherent(F.lit("a castle"), F.lit("castles near castle walls")), k=text.leaks_reference(F.lit("As shown in the JSON")),
+        m=text.facet_scores(F.lit("**Consistency**: 2\nRealism 1")),
+    )
+    assert got.a == "Real text." and got.b == '{"a":1}' and (got.c.thinking, got.c.json) == ("why", "{}")
+    assert (got.d.analysis, got.d.json) == ("a", '{"b":2}') and got.e == "Hi you" and got.f == "你好" and got.g == "b c"
+    assert got.h == ["yes", "no"] and got.i == "16:9" and got.j and got.k and got.m.consistency == 2 and got.m.aesthetic_quality is None
+
+
+def test_geometry(spark):
+    b = lambda *v: F.array(*map(F.lit, v))
+    got = one(
+        spark, a=geometry.iou(b(0, 0, 10, 10), b(5, 0, 15, 10)), b=geometry.iou(b(0, 0, 9, 9), b(0, 0, 9, 9), 1), c=geometry.relations(b(0, 0, 10, 10), b(100, 0, 110, 10)),
+        d=geometry.box_in(F.lit("x <bbox>1 2 30 40</bbox>")), e=geometry.valid_box(b(0, 0, 9, 9)), f=geometry.ratio_value(F.lit("16:9")), g=geometry.bucket_size(F.lit(16 / 9), 1024),
+        h=geometry.to_pixels(b(500, 500, 1000, 1000), F.lit(5), F.lit(3)),
+    )
+    assert got.a == pytest.approx(1 / 3) and got.b == 1 and got.c == ["left of"] and got.d == [1, 2, 30, 40] and got.e is False
+    assert got.f == pytest.approx(16 / 9) and (got.g.w, got.g.h) == (1376, 768) and got.h == [2, 2, 5, 3]
+
+
+def test_json_rules():
+    assert D.canonical('{"z": 1, "id": 2, "a": [{"depth": 3, "b": "é"}]}') == '{"z":1,"a":[{"b":"é"}]}' and D.canonical("no json") == "no json"
+    assert D.without_empty({"a": [], "b": {"c": None}, "d": "", "e": 0}) == {"e": 0}
+    assert D.read_json('```json\n{"a": [1, 2,],}\n```') == {"a": [1, 2]} and D.read_json("x") is None
+    t = '{"a":"bc","d":[1]}'
+    assert [c for c, m in zip(t, D.content_mask(t)) if m] == list("bc1") and all(D.content_mask('{"a": 1}'))
+    assert D.token_mask([True, False, False], [(0, 2), (1, 3), (1, 1)]) == [True, False, False]
+    assert D.referenced("[1-3] and [5, 7]") == {1, 2, 3, 5, 7} and D.with_boxes("[1] by [9]", {1: "B"}) == "B by [9]"
+    assert json.loads(D.shortened('{"elements":["aaaa","bbbb","cccc"]}', 25))["elements"] == ["aaaa"] and D.shortened("abcdef", 3) == "abc"
+
+
+def test_degradation_keeps_invariants():
+    doc = json.dumps({"intent": "i", "style": "s", "elements": [{"id": k, "caption": f"c{k}", "tags": ["a.", "b", "c"], "position": f"<bbox>{k} {k} 9 9</bbox>"} for k in range(1, 6)],
+                      "scene": {"setting": "x", "elements": [{"id": 9, "caption": "sky"}]}, "relationships": ["[1] near [2-3]", "[9] behind [1]"]})
+    sizes = []
+    for n in (1, 4, 7, 10):
+        out = [json.loads(D.degraded(doc, f"k{i}", D.level(n))) for i in range(40)]
+        for o in out:
+            es = [*o.get("elements", []), *o.get("scene", {}).get("elements", [])]
+            assert [e["id"] for e in es] == list(range(1, len(es) + 1)) and not D.has_null(o)
+        sizes.append(np.mean([len(json.dumps(o)) for o in out]))
+    assert sizes == sorted(sizes) and D.degraded(doc, "k", D.level(5)) == D.degraded(doc, "k", D.level(5)) and D.degraded("x", "k", D.level(5)) is None
+
+
+def test_assignment_is_optimal():
+    r = np.random.default_rng(0)
+    for n, m in ((3, 3), (2, 5), (5, 2), (1, 1), (4, 4)):
+        cost = r.random((n, m))
+        got = sum(cost[i, j] for i, j in D.assignment(cost))
+        k = min(n, m)
+        best = min(sum((cost if n <= m else cost.T)[i, p[i]] for i in range(k)) for p in permutations(range(max(n, m)), k))
+        assert got == pytest.approx(best)
+    assert D.matched_distance(["cat"], ["cat dog"]) == 0.5 and D.greedy_recall([], ["a"]) is None and D.greedy_recall(["cats"], ["x catz"]) == 1
+
+
+def test_ratings_follow_preferences():
+    got = D.ratings([(0, 1, 0.95), (1, 2, 0.95), (0, 2, 0.95)])
+    assert got[0] > got[1] > got[2] and sum(got.values()) == pytest.approx(0) and D.ratings([]) == {}
+
+
+def test_packing_loses_no_sample():
+    costs = [(i, int(c)) for i, c in enumerate(np.random.default_rng(1).integers(1, 20_000, 500))]
+    got = D.pack_greedy(costs)
+    assert sorted(i for i, _, _ in got) == list(range(500)) and {s for _, _, s in got} <= {"packed", "skipped"}
+    size = {}
+    for i, p, s in got:
+        assert (s == "skipped") == (costs[i][1] > 16_384)
+        if s == "packed":
+            size[p] = size.get(p, 0) + costs[i][1]
+    assert max(size.values()) <= 36_864
+
+
+def test_verification_without_scores_is_null(spark):
+    n = F.lit(None).cast("double")
+    got = one(spark, a=R.verification_summary({"x": (n, F.lit(None).cast("boolean"))}), b=R.verification_summary({"x": (F.lit(0.5), F.lit(True)), "y": (n, F.lit(False))}))
+    assert got.a.overall_pass is None and got.a.overall_score is None and got.b.overall_pass and got.b.overall_score == 0.5
+
+
+def test_benchmark_prompts(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"prompt":"a","tag":"t"}\n\n{"prompt":"b"}\n')
+    got = [tuple(r) for r in records.load_prompts(spark, "geneval", str(tmp_path / "g.jsonl")).collect()]
+    assert got == [("00000", "geneval", "t", "a"), ("00002", "geneval", None, "b")]
+    assert records.load_prompts(spark, "genevalpp", str(tmp_path / "g.jsonl")).collect()[0].id == "1"
+    (tmp_path / "d.csv").write_text('item_id,text\nx,one\nx,two\ny,"a, b"\n')
+    assert {(r.id, r.prompt) for r in records.load_prompts(spark, "dpgbench", str(tmp_path / "d.csv")).collect()} == {("x", "one"), ("y", "a, b")}
+    (tmp_path / "p.prompt").write_text("7\tan\told\nnothing\n")
+    assert [(r.id, r.prompt) for r in records.load_prompts(spark, "alignment_v5", str(tmp_path / "p.prompt")).collect()] == [("7", "an\told")]
+    (tmp_path / "c.jsonl").write_text('{"ID":"q","Main Class":"M","Sub Class":"S","Prompt":"p"}\n')
+    assert records.load_prompts(spark, "corebench", str(tmp_path / "c.jsonl")).collect()[0].category == "M/S"
+    with pytest.raises(ValueError):
+        records.load_prompts(spark, "none", "x")
+
+
+def test_tolerant_and_strict_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"index":1,"query":"q"}\nbroken\n')
+    assert records.json_lines(spark, str(tmp_path), "index long, query string", strict=False).count() == 1
+    assert [r.line for r in records.corrupt_lines(spark, str(tmp_path), "index long, query string").collect()] == ["broken"]
+    with pytest.raises(Exception):
+        records.json_lines(spark, str(tmp_path), "index long, query string").collect()
+    assert records.repeated_paths(["a", "b"], 5) == ["a", "b", "a", "b", "a"]
+
+
+def test_completions_are_emitted_once(spark, tmp_path):
+    rows = [(0, 0, True), (0, 1, True), (0, 1, True), (1, 0, False), (1, 1, True), (0, 2, False), (1, 2, True), (2, 0, True), (0, 2, True)]
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(0, len(rows), 3):
+        (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("index", "image", "ok"), r))) for r in rows[i : i + 3]))
+        os.utime(src / f"{i}.json", (1_000_000 + i, 1_000_000 + i))  # files are taken by age
+    stream = queues.completions(queues.pending(spark, str(src), "index long, image int, ok boolean", 1), "index", "image", "ok", 3)
+    q = stream.writeStream.format("memory").queryName("done_once").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted((r["index"], r.n_done, r.n_valid) for r in spark.table("done_once").collect()) == [(0, 3, 2), (1, 3, 2)]
+
+
+def test_every_query_runs(spark, sf_dir):
+    for name, f in catalog.QUERIES.items():
+        assert f(spark, sf_dir).columns, name
+
+
+def test_queries_match_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    def rows(names, values):
+        order = sorted(range(len(names)), key=lambda i: names[i])
+        return sorted(tuple(f"{r[i]:.7g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in values)
+
+    for name, sql in catalog.ORACLE_SQL.items():
+        got = catalog.QUERIES[name](spark, sf_dir)
+        want = con.execute(sql)
+        names = [d[0] for d in want.description]
+        assert sorted(got.columns) == sorted(names), name
+        assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall()), name
