@@ -258,8 +258,19 @@ class Vocabulary:
 
 
 def vocabulary(found: DataFrame) -> Vocabulary:
-    """From all counts: the HEAD most frequent words, and sums by tail. Two bounded collects."""
-    head = found.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()
+    """From all counts: the most frequent words, HEAD at most, and sums by tail.
+
+    A histogram of counts by 64ths of powers of two, of a few thousand rows at most, says from which count on
+    words fit into the head; only those are collected.
+    """
+    step = F.floor(F.log2("n") * 64)
+    room, least = HEAD, None
+    for r in sorted(found.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r.step):
+        room -= r.v
+        if room < 0:
+            break
+        least = r.step
+    head = [] if least is None else sorted(found.where(step >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
     words = [bytes(r.word) for r in head]
     count = np.array([r.n for r in head], np.int64)
     own = min(len(words), CLASSES * MEMBERS - TAILS)
