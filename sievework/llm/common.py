@@ -188,10 +188,11 @@ def training_rows(
     At most ``most_docs`` documents, and no more once ``most_chars`` are gathered. ``trusted`` is over
     ``doc_id`` and says which labels may be learned from; null labels and ids are left out.
     """
-    chosen = (
-        labels.where(trusted & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_docs)
-    )
+    usable = labels.where(trusted & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("label"))
+    # rows whose hash is far above the sample's are left out before the sort, so that no task gets each one's least
+    share = min(1.0, 2 * most_docs / max(1, usable.count()))
+    near = usable.where(F.xxhash64("doc_id") <= F.lit(int(share * ((1 << 64) - 1)) - (1 << 63) if share < 1 else (1 << 63) - 1))
+    chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_docs)
     # at most most_docs rows of two numbers
     got = need(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
     texts, ys, chars = [], [], 0
