@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import geometry, hashing, stats, text
 from sievework.operators import documents as D
 from sievework.operators import relational as R
+from sievework.operators import sequences as Q
 from sievework.operators import statistics as S
 from sievework.streaming import queues
 
@@ -533,6 +534,68 @@ def canonical_props(spark, sf_dir):
     return e.select("event_id", D.mapped(F.col("props"), D.canonical).alias("canonical"), D.mapped(F.col("props"), D.single_quoted).alias("single_quoted"))
 
 
+# --- packed sequences -----------------------------------------------------------------------------------
+
+_SEGMENTS = """g AS (
+  SELECT l_orderkey AS pack, l_linenumber // 3 AS sample, l_linenumber AS place,
+         CASE l_linenumber % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'vit' ELSE 'vae' END AS kind,
+         max(l_quantity)::BIGINT AS length, max(l_returnflag) = 'R' AS loss, min(l_discount) < 0.02 AS dropped
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+c AS (SELECT *, CASE WHEN dropped THEN 0 ELSE length + 2 END AS tokens FROM g),
+l AS (SELECT *, (coalesce(sum(tokens) OVER (PARTITION BY pack ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
+         (coalesce(sum(CASE WHEN kind = 'text' THEN tokens WHEN dropped THEN 1 WHEN kind = 'vae' AND loss THEN 0 ELSE 1 END)
+           OVER (PARTITION BY pack, sample ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rope FROM c)"""
+
+
+def _laid(spark, sf_dir):
+    n = F.col("l_linenumber")
+    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pack"), n.alias("place")).agg(
+        F.max("l_quantity").cast("long").alias("length"), (F.max("l_returnflag") == "R").alias("loss"), (F.min("l_discount") < 0.02).alias("dropped"))
+    third = F.col("place") % 3
+    g = g.select("*", F.floor(F.col("place") / 3).alias("sample"), F.when(third == 0, "text").when(third == 1, "vit").otherwise("vae").alias("kind"))
+    return Q.layout(g, "pack", "sample", "place")
+
+
+@query(f"""WITH {_SEGMENTS}
+SELECT pack, place, kind, start, tokens, rope, CASE WHEN kind = 'text' THEN 'causal' WHEN kind = 'vae' AND loss THEN 'noise' ELSE 'full' END AS attention,
+       CASE WHEN NOT loss OR kind = 'vit' THEN 0 WHEN kind = 'text' THEN length + 1 ELSE length END AS loss_tokens
+FROM l WHERE NOT dropped""")
+def sequence_layout(spark, sf_dir):
+    return _laid(spark, sf_dir).select("pack", "place", "kind", "start", "tokens", "rope", "attention", "loss_tokens")
+
+
+@query(f"""WITH {_SEGMENTS},
+t AS (SELECT pack, start, rope, kind, length, loss, unnest(range(0, tokens)) AS i FROM l WHERE NOT dropped),
+b AS (SELECT pack, start + i AS position, rope + CASE WHEN kind = 'text' THEN i ELSE 0 END AS rope,
+      CASE WHEN loss AND kind = 'text' AND i <= length THEN 'ce' WHEN loss AND kind = 'vae' AND i BETWEEN 1 AND length THEN 'mse' END AS loss_kind FROM t)
+SELECT pack, count(*) AS n, max(position) AS last, sum(rope)::BIGINT AS ropes, count(*) FILTER (WHERE loss_kind = 'ce') AS ce, count(*) FILTER (WHERE loss_kind = 'mse') AS mse FROM b GROUP BY pack""")
+def token_positions(spark, sf_dir):
+    t = Q.token_places(_laid(spark, sf_dir), "pack")
+    return t.groupBy("pack").agg(
+        F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.sum("rope").alias("ropes"),
+        F.count_if(F.col("loss_kind") == "ce").alias("ce"), F.count_if(F.col("loss_kind") == "mse").alias("mse"))
+
+
+@query(f"""WITH {_SEGMENTS},
+r AS (SELECT pack, kind, start, start + tokens AS stop FROM l WHERE tokens > 0),
+e AS (SELECT event_id % 1000 AS pack, user_id % 120 AS position, value FROM events WHERE value IS NOT NULL)
+SELECT kind AS dataset, count(*) AS n, round(sum(value), 4) AS total FROM e JOIN r ON e.pack = r.pack AND position >= start AND position < stop GROUP BY kind""")
+def loss_by_dataset(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("pack"), (F.col("user_id") % 120).alias("position"), "value")
+    return rounded(Q.loss_by_dataset(e, _laid(spark, sf_dir), "pack", "position", "value", "place", "kind", "tokens"), 4)
+
+
+@query("""
+SELECT p_partkey, list_transform(range(0, (p_size // 2) * 3), lambda i: ((i // 3) * 8 + i % 3)::INT)::VARCHAR AS corner,
+       list_transform(range(0, (p_size // 2) * 3), lambda i: (((i // 3) * 8 // (p_size // 2)) * 8 + (i % 3) * 8 // 3)::INT)::VARCHAR AS spread,
+       round(CASE WHEN p_size // 2 = 0 THEN 0 ELSE 1 / sqrt(p_size // 2) END, 6) AS weight
+FROM part""")
+def grid_positions(spark, sf_dir):
+    p, tall = read(spark, sf_dir, "part"), F.floor(F.col("p_size") / 2)
+    grid = lambda **k: F.concat(F.lit("["), F.array_join(Q.grid_positions(F.col("p_size"), F.lit(6), 2, 8, **k), ", "), F.lit("]"))
+    return p.select("p_partkey", grid().alias("corner"), grid(stretched=True).alias("spread"), F.round(Q.length_weight(tall), 6).alias("weight"))
+
+
 # --- queues ---------------------------------------------------------------------------------------------
 
 

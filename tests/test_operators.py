@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievework.functions import geometry, hashing, stats, text
 from sievework.operators import documents as D
 from sievework.operators import relational as R
+from sievework.operators import sequences as Q
 from sievework.operators import statistics as S
 from sievework.plans import catalog
 from sievework.sources import records
@@ -170,6 +171,38 @@ def test_completions_are_emitted_once(spark, tmp_path):
     assert sorted((r["index"], r.n_done, r.n_valid) for r in spark.table("done_once").collect()) == [(0, 3, 2), (1, 3, 2)]
 
 
+def test_layout_of_a_pack(spark):
+    rows = [
+        (1, 0, 0, "text", 3, True, False, "x"), (1, 0, 1, "vit", 4, None, False, "x"), (1, 0, 2, "vae", 2, True, False, "x"), (1, 0, 3, "text", 0, False, None, "x"),
+        (1, 1, 0, "text", 5, True, True, "x"), (1, 1, 1, "vit", 4, True, True, "x"), (1, 1, 2, "vae", 1, False, False, "x"), (1, 1, 3, None, 9, False, False, "x"),
+    ]
+    laid = Q.layout(spark.createDataFrame(rows, "pack long, sample int, place int, kind string, length int, loss boolean, dropped boolean, i string"), "pack", "sample", "place")
+    got = [(r.sample, r.place, r.start, r.tokens, r.rope, r.attention, r.loss_kind, r.loss_tokens) for r in laid.orderBy("sample", "place").collect()]
+    assert got == [
+        (0, 0, 0, 5, 0, "causal", "ce", 4), (0, 1, 5, 6, 5, "full", None, 0), (0, 2, 11, 4, 6, "noise", "mse", 2), (0, 3, 15, 2, 6, "causal", None, 0),
+        (1, 2, 17, 3, 1, "full", None, 0),
+    ]
+    tokens = [(r.position, r.rope, r.loss_kind) for r in Q.token_places(laid, "pack").orderBy("position").collect()]
+    assert [t[0] for t in tokens] == list(range(20))
+    assert tokens[3:5] == [(3, 3, "ce"), (4, 4, None)] and tokens[11:15] == [(11, 6, None), (12, 6, "mse"), (13, 6, "mse"), (14, 6, None)]
+    assert Q.layout(laid.limit(0).drop("tokens", "start", "rope", "attention", "loss_kind", "loss_tokens"), "pack", "sample", "place").count() == 0
+
+
+def test_loss_by_dataset(spark):
+    runs = spark.createDataFrame([(1, 0, "a", 3), (1, 1, "b", 0), (1, 2, "b", 2), (1, 3, "a", 1), (2, 0, None, 4)], "pack long, n int, name string, length int")
+    losses = spark.createDataFrame([(1, 0, 1.0), (1, 2, 2.0), (1, 3, 4.0), (1, 4, None), (1, 5, 8.0), (1, 6, 16.0), (2, 1, 32.0), (3, 0, 64.0)], "pack long, at int, loss double")
+    got = {r.dataset: (r.n, r.total) for r in Q.loss_by_dataset(losses, runs, "pack", "at", "loss", "n", "name", "length").collect()}
+    assert got == {"a": (3, 11.0), "b": (1, 4.0), None: (1, 32.0)}
+
+
+def test_ratings_of_many_groups_are_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, a, b, float(rng.choice([0.05, 0.5, 0.95]))) for g in range(40) for a in range(g % 5 + 2) for b in range(a)]
+    got = {(r.g, r.item): r.rating for r in D.rate_groups(spark.createDataFrame(rows, "g long, a long, b long, y double"), "g").collect()}
+    want = {(g, k): v for g in range(40) for k, v in D.ratings([r[1:] for r in rows if r[0] == g]).items()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, f in catalog.QUERIES.items():
         assert f(spark, sf_dir).columns, name
