@@ -30,6 +30,8 @@ TRAIN_DOCS, TRAIN_CHARS, STREAMS, WINDOW = 4_000, 9_000_000, 64, 24
 END = b""
 #: Texts that are scored side by side, and words of which a task gathers counts before it hands them on.
 _LANES, _COUNTED = 1024, 400_000
+#: States that wait for their outputs, and bytes of text whose documents are scored together.
+_WAITING, _TOGETHER = 1 << 15, 16_000_000
 
 
 def tail_of(word: bytes) -> int:
@@ -115,13 +117,32 @@ def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, rows
 
 
+def _log_sum_exp(x: np.ndarray, bound: float) -> np.ndarray:
+    """Of each row of ``x``, which is overwritten and has no number beyond ``bound`` on either side of 0."""
+    top = x.max(1) if bound > 80 else None  # single precision holds exp(80) and exp(-80)
+    if top is not None:
+        x -= top[:, None]
+    got = np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    return got if top is None else got + top
+
+
+def _bounds(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far from 0 the outputs of weights can be, for states between -1 and 1."""
+    return (np.abs(w).sum(-2) + np.abs(b)).max(-1)
+
+
 def log_probabilities(p: dict, states: np.ndarray, out: np.ndarray) -> np.ndarray:
     """Natural logs of the probabilities of the outputs ``out`` after ``states``."""
     cls, member = out // MEMBERS, out % MEMBERS
-    rows = np.arange(out.size)
-    got = _log_softmax(states @ p["wc"] + p["bc"])[rows, cls]
+    x = states @ p["wc"]
+    x += p["bc"]
+    got = x[np.arange(out.size), cls]
+    got -= _log_sum_exp(x, float(_bounds(p["wc"], p["bc"])))
+    most = _bounds(p["wm"], p["bm"])
     for c, at in _by_class(cls):
-        got[at] += _log_softmax(states[at] @ p["wm"][c] + p["bm"][c])[np.arange(at.size), member[at]]
+        x = states[at] @ p["wm"][c]
+        x += p["bm"][c]
+        got[at] += x[np.arange(at.size), member[at]] - _log_sum_exp(x, float(most[c]))
     return got
 
 
@@ -214,33 +235,35 @@ def train(net: Net, texts: list[np.ndarray], updates: int = 1500, rate: float =
 def text_log10(net: Net, texts: list[np.ndarray]) -> np.ndarray:
     """The log10 probability of the outputs of each text, from its first to its last.
 
-    Texts of like length go side by side, window by window, with their states carried on.
+    Texts of like length go side by side, window by window, with their states carried on. States wait until
+    there are enough of them for their outputs' probabilities, as few long texts make few states a window.
     """
     p, start, sums = net.p, CLASSES * MEMBERS, np.zeros(len(texts))
     gates = (p["embed"] @ p["wx"] + p["b"]).astype(np.float32)
     order = sorted(range(len(texts)), key=lambda i: -texts[i].size)
     for lo in range(0, len(order), _LANES):
-        some = order[lo : lo + _LANES]
+        some = np.array(order[lo : lo + _LANES])
         sizes = np.array([texts[i].size for i in some])
-        h, last = np.zeros((len(some), HIDDEN), np.float32), np.full(len(some), start)
-        for t0 in range(0, int(sizes[0]), WINDOW):
-            live = int((sizes > t0).sum())
-            n = min(WINDOW, int(sizes[0]) - t0)
-            y = np.zeros((n, live), np.int64)
-            for j in range(live):
-                part = texts[some[j]][t0 : t0 + n]
-                y[: part.size, j] = part
+        whole, begins = np.concatenate([texts[i] for i in some]), np.cumsum(sizes) - sizes
+        h, last = np.zeros((some.size, HIDDEN), np.float32), np.full(some.size, start)
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held, longest = 0, int(sizes[0])
+        for t0 in range(0, longest, WINDOW):
+            live, n = int((sizes > t0).sum()), min(WINDOW, longest - t0)
+            at = t0 + np.arange(n)[:, None]
+            y = whole[begins[:live] + np.minimum(at, sizes[:live] - 1)]
             x = np.r_[last[:live][None], y[:-1]]
-            h = h[:live]
+            h, last = h[:live], y[-1]
             states = np.empty((n, live, HIDDEN), np.float32)
             for t in range(n):
-                h = _step(p, gates[x[t]], h)[0]
-                states[t] = h
-            last = y[-1]
-            real = (t0 + np.arange(n))[:, None] < sizes[None, :live]
-            got = np.zeros(real.shape)
-            got[real] = log_probabilities(p, states[real], y[real])
-            sums[some[:live]] += got.sum(0)
+                h = states[t] = _step(p, gates[x[t]], h)[0]
+            real = at < sizes[:live]
+            waiting.append((states[real], y[real], np.nonzero(real)[1]))
+            held += waiting[-1][2].size
+            if held >= _WAITING or t0 + n == longest:
+                s, out, lane = map(np.concatenate, zip(*waiting, strict=True))
+                sums[some] += np.bincount(lane, log_probabilities(p, s, out), some.size)
+                waiting, held = [], 0
     return sums / np.log(10)
 
 
@@ -332,6 +355,20 @@ class Reader:
         return self.known["sorted"]
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of _TOGETHER bytes of text, or little more: the longest text of a list delays the others."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch["text"].nbytes
+        if size >= _TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def scored(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -360,15 +397,19 @@ def scored(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = held.value
         reads = Reader(words)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, n, base, known, extra, others = zip(*(reads.read(t.as_py()) for t in batch["text"]), strict=True)
-            score = text_log10(model, list(out)) + np.array(extra)
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(others, pa.list_(pa.binary()))],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "others"],
-            )
+        for some in together(batches):
+            out, n, base, known, extra, others = ([] for _ in range(6))
+            for t in (t for batch in some for t in batch["text"]):
+                for one, to in zip(reads.read(t.as_py()), (out, n, base, known, extra, others), strict=True):
+                    to.append(one)
+                out[-1] = out[-1].astype(np.int16)
+            score, lo = text_log10(model, out) + np.array(extra), 0
+            for batch in some:
+                at = slice(lo, lo := lo + batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["row"], batch["doc_id"], pa.array(n[at], pa.int64()), pa.array(known[at], pa.int64()), pa.array(base[at], pa.float64()), pa.array(score[at]), pa.array(others[at], pa.list_(pa.binary()))],
+                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "others"],
+                )
 
     # numbered before the only pass that scores; the checkpoint keeps numbers and sums together
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
