@@ -13,6 +13,7 @@ as intervals over all functions, and each joined passage is verified word by wor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,32 +116,33 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys, docs_, spans = [], [], []
-            rows = 0
+            ids, strings, places = [], [], 0
             for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
-                h = hasher.shingles(text.as_py())
-                for k in range(hashes):
-                    mixed = _mixed(h ^ seeds[k])
-                    if not (found := compact_windows(mixed, long)):
-                        break
-                    w = np.array(found, np.int64)
-                    c, span = w[:, 1], (w[:, 0] << 32) + w[:, 2]
-                    for side in (-BESIDE, BESIDE):
-                        other = c + side
-                        inside = (other >= 0) & (other < h.size)
-                        key = _mixed(mixed[c[inside]] + _mixed(h[other[inside]] + np.uint64(k * 2 + (side > 0))))
-                        keys.append(key.view(np.int64))
-                        spans.append(span[inside])
-                        docs_.append(np.full(key.size, doc, np.int64))
-                        rows += key.size
-                if rows > 100_000:
-                    yield pack(keys, docs_, spans)
-                    keys, docs_, spans, rows = [], [], [], 0
-            if rows:
-                yield pack(keys, docs_, spans)
-
-    def pack(*columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "doc", "span"])
+                if (h := hasher.shingles(text.as_py())).size >= long:
+                    ids.append(doc)
+                    strings.append(h)
+                    places += h.size
+                if places > 200_000:
+                    yield from keyed(ids, strings)
+                    ids, strings, places = [], [], 0
+            if strings:
+                yield from keyed(ids, strings)
+
+    def keyed(ids: list[int], strings: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of some documents, one function at a time; places are counted through all of them."""
+        sizes, h = np.array([x.size for x in strings]), np.concatenate(strings)
+        begins = np.cumsum(sizes) - sizes
+        for k in range(hashes):
+            mixed = _mixed(h ^ seeds[k])
+            found = [compact_windows(mixed[b : b + n], long) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+            of = np.repeat(np.arange(sizes.size), [len(f) for f in found])
+            left, place, right = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 3 * of.size).reshape(-1, 3).T
+            span, doc = (left << 32) + right, np.array(ids, np.int64)[of]
+            for side in (-BESIDE, BESIDE):
+                inside = np.flatnonzero((place + side >= 0) & (place + side < sizes[of]))
+                at = (place + begins[of])[inside]
+                key = _mixed(mixed[at] + _mixed(h[at + side] + np.uint64(k * 2 + (side > 0))))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), doc[inside], span[inside])], names=["key", "doc", "span"])
 
     return docs.select("doc", "text").mapInArrow(run, "key long, doc long, span long")
 
