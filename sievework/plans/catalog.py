@@ -469,6 +469,29 @@ def bucket_sizes(spark, sf_dir):
     return p.select("p_partkey", F.col("s.w").cast("int").alias("width"), F.col("s.h").cast("int").alias("height"))
 
 
+@query("""
+WITH a AS (SELECT p_partkey, p_size AS v, least(8, p_size) AS k FROM part),
+b AS (SELECT *, list_transform(range(0, k + 1), lambda i: CASE WHEN i = k THEN v ELSE floor(i * (v / k)) END) AS ends FROM a)
+SELECT p_partkey, list_transform(range(0, 8), lambda i: floor((ends[least(i, k - 1) + 1] + ends[least(i, k - 1) + 2] - 1) / 2)::INT)::VARCHAR AS middle,
+       list_transform(range(0, 8), lambda i: ends[least(i, k - 1) + 1]::INT)::VARCHAR AS start FROM b""")
+def video_frames(spark, sf_dir):
+    show = lambda how: F.concat(F.lit("["), F.array_join(geometry.frame_places(F.col("p_size"), 8, how), ", "), F.lit("]"))
+    return read(spark, sf_dir, "part").select("p_partkey", show("middle").alias("middle"), show("start").alias("start"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_size % 5 + 1 AS h, p_partkey % 6 + 1 AS w, p_size / 64.0 AS x1, p_size / 100.0 AS y1, p_size / 64.0 + 0.3 AS x2, p_size / 100.0 + 0.2 AS y2 FROM part),
+c AS (SELECT *, unnest(range(0, h * w)) AS i FROM b)
+SELECT p_partkey, count(*) FILTER (WHERE NOT (greatest(x1, (i % w) / w) < least(x2, (i % w + 1) / w) AND greatest(y1, (i // w) / h) < least(y2, (i // w + 1) / h))) AS open, count(*) AS n
+FROM c GROUP BY p_partkey""")
+def masked_patches(spark, sf_dir):
+    s = F.col("p_size")
+    box = F.array(s / 64.0, s / 100.0, s / 64.0 + 0.3, s / 100.0 + 0.2)
+    w = geometry.patch_weights(F.array(box), s % 5 + 1, (F.col("p_partkey") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", w.alias("w")).select(
+        "p_partkey", F.size(F.filter("w", lambda x: x == 1)).cast("long").alias("open"), F.size("w").cast("long").alias("n"))
+
+
 # --- ranking, packing, conversations --------------------------------------------------------------------
 
 

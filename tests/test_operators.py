@@ -76,6 +76,21 @@ def test_geometry(spark):
     assert got.f == pytest.approx(16 / 9) and (got.g.w, got.g.h) == (1376, 768) and got.h == [2, 2, 5, 3]
 
 
+def test_frames_patches_and_sizes(spark):
+    i = F.lit
+    got = one(
+        spark, a=geometry.frame_places(i(10), 4), b=geometry.frame_places(i(2), 4, "start"), c=geometry.frame_places(i(0), 4), d=geometry.frames_by_rate(i(10), i(5.0), 1.0),
+        e=geometry.frames_by_rate(i(10), i(5.0), 2.0, 3), f=geometry.patch_weights(F.array(F.array(*map(i, (0.0, 0.0, 0.5, 0.4)))), i(2), i(2)),
+        g=geometry.patch_weights(i(None).cast("array<array<double>>"), i(1), i(2)), h=geometry.patch_weights(F.array(F.array(*map(i, (0.5, 0.0, 0.5, 1.0)))), i(1), i(2)),
+        j=geometry.aligned_size(i(100), i(50), 16, 1024, 64, 10**6), k=geometry.aligned_size(i(4000), i(1000), 16, 1024, 64, 10**6), m=geometry.aligned_size(i(800), i(800), 16, 1024, 64, 250_000),
+        n=geometry.frame_places(i(9), 3, "hashed", key=i("v")),
+    )
+    assert got.a == [0, 3, 5, 8] and got.b == [0, 1, 1, 1] and got.c == [] and got.d == [2, 8] and got.e == [1, 4, 6]
+    assert got.f == [0, 1, 1, 1] and got.g == [1, 1] and got.h == [1, 1]
+    assert (got.j.w, got.j.h) == (128, 64) and (got.k.w, got.k.h) == (1024, 256) and (got.m.w, got.m.h) == (496, 496)
+    assert all(lo <= x < lo + 2 for lo, x in zip((0, 3, 6), got.n, strict=True))
+
+
 def test_json_rules():
     assert D.canonical('{"z": 1, "id": 2, "a": [{"depth": 3, "b": "é"}]}') == '{"z":1,"a":[{"b":"é"}]}' and D.canonical("no json") == "no json"
     assert D.without_empty({"a": [], "b": {"c": None}, "d": "", "e": 0}) == {"e": 0}
