@@ -3,11 +3,12 @@
 A document is the string of its five-word shingles. Under a hash function, the Cartesian tree of the
 string's hashes groups all stretches of at least a given length by their least shingle: a node is a compact
 window (left, least, right), and each stretch within it that covers the least place has that shingle as its
-min-hash. Repeated passages have windows with one value in both documents, under every function. Windows
-meet by that value together with the shingle a fixed number of places to its left or right, which lies in
-the passage too, so that a common phrase alone makes no group. In a group all windows are linked to the one
-of the smallest document, and each document to the one before it, never all to each other; a document's windows that name one other document are joined
-as intervals over all functions, and each joined passage is verified word by word.
+min-hash. Near duplicates have windows with one value in both documents under a function with a chance equal
+to their resemblance. Windows meet by that value alone. Those that meet others carry the shingles around their
+least place; in a group each window looks for a smaller document of which a passage over the least place
+resembles its own, by the rarest shingles first, until one is found or none is left. So a common phrase makes
+no link and every context of a group can be met. Links of two documents are joined as intervals over all
+functions, and each joined passage is verified word by word.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from sievework.llm.common import checkpointed, need, runs_of, small_or_shuffled,
 SHINGLE, SHARE = 5, 0.8
 #: Words in the shortest passage, and hash functions.
 LEAST, HASHES = 50, 4
-#: The other shingle of a key lies so many places off: below half of the shortest passage.
-BESIDE = 20
-#: One document in so many shows which keys are frequent; such keys are dealt to so many parts.
-SAMPLE, OFTEN, SALTS = 64, 8, 64
+#: Shingles on either side of a window's least place that windows are compared by, as 16 bits each; 0 is beyond the text.
+REACH = 49
+#: Pairs of windows that are compared at a time.
+PAIRS = 2_000
+#: One document in so many shows which keys are frequent; such keys are dealt to parts of PART rows, at most so many.
+SAMPLE, OFTEN, SALTS, PART = 64, 8, 64, 16_384
 _LOW = (1 << 32) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors, so that the order of words counts.
@@ -105,10 +108,10 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
-    """``key``, ``doc``, ``span`` of the compact windows of ``docs`` (``doc``, ``text``), twice each.
+    """``key``, ``doc``, ``place``, ``span`` of the compact windows of ``docs`` (``doc``, ``text``).
 
-    A key stands for the function, the least shingle and the one BESIDE places before or after it. A span
-    has the left end in its upper half and the right end in its lower half.
+    A key stands for the function and the least shingle, which is at ``place``. A span has the left end in its
+    upper half and the right end in its lower half.
     """
     long = least - SHINGLE + 1
     seeds = _mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _ODD)
@@ -138,13 +141,10 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
             of = np.repeat(np.arange(sizes.size), [len(f) for f in found])
             left, place, right = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 3 * of.size).reshape(-1, 3).T
             span, doc = (left << 32) + right, np.array(ids, np.int64)[of]
-            for side in (-BESIDE, BESIDE):
-                inside = np.flatnonzero((place + side >= 0) & (place + side < sizes[of]))
-                at = (place + begins[of])[inside]
-                key = _mixed(mixed[at] + _mixed(h[at + side] + np.uint64(k * 2 + (side > 0))))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), doc[inside], span[inside])], names=["key", "doc", "span"])
+            key = _mixed(mixed[place + begins[of]] + np.uint64(k))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), doc, place, span)], names=["key", "doc", "place", "span"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, span long")
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, place long, span long")
 
 
 def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int, int]], least: int, share: float) -> list[tuple[int, int, int, int]]:
@@ -230,7 +230,7 @@ def passages(
         one = one.join(ids.select("doc", "x", "y"), ["doc", "x", "y"], "left_semi").dropDuplicates(["doc"])
     later = copies.where("doc <> first").select("doc")
     distinct = one.select("doc", "text").join(small_or_shuffled(later), "doc", "left_anti")
-    met = checkpointed(_met(windows(distinct, least, hashes), windows(distinct.where(_sampled()), least, hashes)))
+    met = checkpointed(_met(distinct, least, share, hashes))
     marks = checkpointed(met.groupBy("doc", "first").agg(F.collect_set(F.struct("span", "first_span")).alias("spans")))
     found = checkpointed(_verified(distinct, marks, least, share))
     own = found.select(F.col("doc").alias("doc_id"), "begin", "end", F.col("first").alias("first_doc_id"), F.lit(False).alias("is_first"))
@@ -248,44 +248,183 @@ def _sampled():
     return F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0
 
 
-def _met(made: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Windows linked to that of the smallest document in their group: ``doc``, ``span``, ``first``, ``first_span``.
+def _met(docs: DataFrame, least: int, share: float, hashes: int) -> DataFrame:
+    """Windows linked to ones of smaller documents that resemble them: ``doc``, ``span``, ``first``, ``first_span``.
 
-    Windows are shuffled once. A key that the sampled documents have often is dealt to SALTS parts; the
-    parts' smallest documents are then linked to the smallest of all, so that a chain joins every window.
+    A key that the sampled documents have often is dealt to SALTS parts. A window that finds nothing in its
+    own part then looks in all the others.
     """
-    often = checkpointed(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).select("key", F.lit(True).alias("often")))
-    salted = made.join(small_or_shuffled(often), "key", "left").select(
-        "key", F.when(F.col("often"), 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.lit(SALTS))).otherwise(F.lit(0)).alias("salt"), "doc", "span"
+    counted = windows(docs.where(_sampled()), least, hashes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    often = checkpointed(counted.select("key", F.least(F.lit(SALTS), F.ceil(F.col("n") * SAMPLE / PART)).cast("long").alias("parts")).where("parts > 1"))
+    salted = windows(docs, least, hashes).join(small_or_shuffled(often), "key", "left").select(
+        "key", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.col("parts"))).otherwise(F.lit(0)).alias("salt"), "doc", "place", "span"
     )
-    def to_least(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "span").mapInArrow(
-            _linked, "key long, salt long, doc long, span long, first long, first_span long"
-        )
-
-    found = checkpointed(to_least(salted))
-    # the least of each part of a frequent key, once more under one salt
-    tops = found.where("salt > 0 AND doc = first").select("key", F.lit(0).cast("long").alias("salt"), "doc", "span")
-    links = found.unionByName(to_least(tops)).where("doc > first")
-    return links.select("doc", "span", "first", "first_span")
+    shared = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_shared, "key long, salt long, doc long, place long, span long")
+    by_doc = checkpointed(shared.groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "place", "span")).alias("windows")))
+
+    def around(some: DataFrame) -> DataFrame:
+        texts = docs.join(small_or_shuffled(some.select("doc")), "doc", "left_semi")
+        return some.join(texts, "doc").select("doc", "windows", "text").mapInArrow(_around, "key long, salt long, doc long, span long, around binary")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in runs_of(batches, ["key", "salt"]):
+                yield _linked(part, least - SHINGLE + 1, share)
+
+        return checkpointed(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "span").mapInArrow(
+            run, "key long, salt long, doc long, span long, around binary, first long, first_span long"
+        ))
+
+    found = linked(around(by_doc).withColumn("seeks", F.lit(True)))
+    own = found.where("first IS NULL").join(small_or_shuffled(often), "key")
+    seekers = own.select("key", F.col("salt").alias("own"), "doc", "span", "around", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("salt"))
+    if not seekers.isEmpty():
+        dealt = around(by_doc.withColumn("windows", F.filter("windows", lambda w: w["salt"] > 0)).where(F.size("windows") > 0))
+        seeking = seekers.where("salt <> own").select("key", "salt", "doc", "span", "around", F.lit(True).alias("seeks"))
+        found = found.unionByName(linked(dealt.withColumn("seeks", F.lit(False)).unionByName(seeking)))
+    return found.where("first IS NOT NULL").select("doc", "span", "first", "first_span")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key two documents have, and all of salted keys."""
+    for rows in runs_of(batches, ["key", "salt"]):
+        new, other = starts_of(rows, ["key", "salt"]), starts_of(rows, ["key", "salt", "doc"])
+        run = np.cumsum(new) - 1
+        keep = (np.bincount(run, other)[run] > 1) | (rows["salt"].to_numpy() > 0)
+        yield from rows.filter(pa.array(keep)).to_batches()
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with the shingles around their least place; spans reach as far as these."""
+    hasher = Hasher()
+    for batch in batches:
+        ends = batch["windows"].offsets.to_numpy()
+        fields = [batch["windows"].values.field(k).to_numpy() for k in range(4)]
+        for i, (doc, text) in enumerate(zip(batch["doc"].to_pylist(), batch["text"], strict=True)):
+            h = hasher.shingles(text.as_py())
+            short = np.concatenate([np.zeros(REACH, np.uint16), (h % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16), np.zeros(REACH, np.uint16)])
+            for lo in range(int(ends[i]), int(ends[i + 1]), 20_000):
+                key, salt, place, span = (f[lo : min(lo + 20_000, int(ends[i + 1]))] for f in fields)
+                near = np.lib.stride_tricks.sliding_window_view(short, 2 * REACH + 1)[place]
+                span = (np.maximum(np.minimum(span >> 32, place - REACH), 0) << 32) + np.minimum(np.maximum(span & _LOW, place + REACH), h.size - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(salt), pa.array(np.full(key.size, doc)), pa.array(span), pa.array([x.tobytes() for x in near], pa.binary())],
+                    names=["key", "salt", "doc", "span", "around"],
+                )
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of larger documents beside their run's first row, and each such document beside the one before it.
+def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
+    """Links of the rows that seek to rows of smaller documents of their run; salted rows that find none, with null.
 
-    The first may have the two shingles of a key in another context; then the one before often has the same.
-    Of salted runs, the first row itself is returned as well.
+    Of two passages that resemble by ``share`` a number of distinct shingles are in both, so that each has one
+    of them among its rarest: all but that number, less one. Rows with such a shingle in common are compared,
+    those of one shingle from the smallest document on, until the seeking row has a passage over its least
+    place that resembles.
     """
-    names = ["key", "salt", "doc", "span", "first", "first_span"]
-    for rows in runs_of(batches, ["key", "salt"]):
-        new, begins = starts_of(rows, ["key", "salt"]), starts_of(rows, ["key", "salt", "doc"])
-        at = np.flatnonzero(new)[np.cumsum(new) - 1]
-        key, salt, doc, span = (rows[c].to_numpy() for c in names[:4])
-        keep = np.flatnonzero((doc > doc[at]) | (new & (salt > 0)))
-        third = np.flatnonzero(begins & (doc > doc[at]))
-        third = third[doc[third - 1] > doc[at][third]]
-        here, there = np.r_[keep, third], np.r_[at[keep], third - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[here], salt[here], doc[here], span[here], doc[there], span[there])], names=names)
+    key, salt, doc, span = (rows[c].to_numpy() for c in ("key", "salt", "doc", "span"))
+    seeks, n, width = rows["seeks"].to_numpy(), rows.num_rows, 2 * REACH + 1
+    near = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint16).reshape(n, width)
+    run = np.cumsum(starts_of(rows, ["key", "salt"])) - 1
+    fresh, enough = _distinct(near, long, share)
+    size = fresh.sum(1)
+    of = np.repeat(np.arange(n), size)
+    code = (run[of] << 16) + near[fresh]
+    _, at, count = np.unique(code, return_inverse=True, return_counts=True)
+    by = np.lexsort((code, count[at], of))
+    place = np.arange(of.size) - np.repeat(np.cumsum(size) - size, size)
+    by = by[place <= size[of] - enough[of]]
+    of, code = of[by], code[by]
+    by = np.lexsort((of, code))
+    of, code = of[by], code[by]
+    # the rows of smaller documents that have a row's shingle: from begin to end
+    new = np.r_[True, code[1:] != code[:-1]][: of.size]
+    other = new | np.r_[True, doc[of][1:] != doc[of][:-1]][: of.size]
+    begin, end = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (new, other))
+    open_, entry, at = seeks.copy(), np.arange(of.size), begin
+    out, seen, steps = [np.zeros((2, 0), np.int64)], np.zeros(0, np.int64), 1
+    while True:
+        left = open_[of[entry]] & (at[entry] < end[entry])
+        entry = entry[left]
+        if not entry.size:
+            break
+        # all rows take a few steps; more of them, the fewer rows there are
+        many = np.minimum(end[entry] - at[entry], steps)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        here, there = np.repeat(of[entry], many), of[np.repeat(at[entry], many) + step]
+        at[entry] += many
+        pairs = np.unique(here * n + there)
+        pairs = pairs[~np.isin(pairs, seen)]
+        seen = np.concatenate([seen[open_[seen // n]], pairs])
+        for lo in range(0, pairs.size, PAIRS):
+            i, j = np.divmod(pairs[lo : lo + PAIRS], n)
+            i, j = i[open_[i]], j[open_[i]]
+            x, y = near[i], near[j]
+            same = (x == y) & (x != 0)
+            # places about the least one that are equal in a row
+            before = np.logical_and.accumulate(same[:, REACH::-1], axis=1).sum(1)
+            equal = before + np.logical_and.accumulate(same[:, REACH:], axis=1).sum(1) - 1 >= long
+            out.append(np.stack([i[equal], j[equal]]))
+            open_[i[equal]] = False
+            sure = np.flatnonzero(open_[i])
+            sure = sure[_edited(same[sure], fresh[i[sure]] & fresh[j[sure]], long, share)]
+            out.append(np.stack([i[sure], j[sure]]))
+            open_[i[sure]] = False
+            unsure = np.flatnonzero(open_[i])
+            common = ((x[unsure, :, None] == y[unsure, None, :]).any(2) & fresh[i[unsure]]).sum(1)
+            for k in unsure[common >= np.maximum(enough[i], enough[j])[unsure]].tolist():
+                if open_[i[k]] and _over_least(x[k], y[k], long, share):
+                    open_[i[k]] = False
+                    out.append(np.array([[i[k]], [j[k]]]))
+        steps = max(1, min(2 * steps, 200_000 // entry.size))
+    i, j = np.concatenate(out, axis=1)
+    # what has not found a passage looks in the other parts
+    rest = np.flatnonzero(open_ & (salt > 0) & seeks) if n else np.zeros(0, np.int64)
+    here = np.r_[i, rest]
+    none = np.r_[np.zeros(i.size, bool), np.ones(rest.size, bool)]
+    to = np.r_[j, rest]
+    around = pa.concat_arrays([pa.nulls(i.size, pa.binary()), pa.array([near[r].tobytes() for r in rest], pa.binary())])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[here]), pa.array(salt[here]), pa.array(doc[here]), pa.array(span[here]), around, pa.array(doc[to], mask=none), pa.array(span[to], mask=none)],
+        names=["key", "salt", "doc", "span", "around", "first", "first_span"],
+    )
+
+
+def _distinct(near: np.ndarray, long: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a shingle is the first of its kind in a row; how many a passage over the least place shares."""
+    n, width = near.shape
+    order = np.argsort(near, axis=1, kind="stable")
+    value = np.take_along_axis(near, order, 1)
+    again = value[:, 1:] == value[:, :-1]
+    # the place before that has the same shingle
+    prior = np.full((n, width), -1, np.int16)
+    rest = np.where(again, order[:, :-1], -1).astype(np.int16)
+    np.put_along_axis(prior, order[:, 1:], rest, 1)
+    least = np.full(n, long)
+    for lo in range(max(0, REACH - long + 1), REACH + 1):
+        part = slice(lo, lo + long)
+        some = (prior[:, part] < lo).sum(1)
+        least = np.where((near[:, part] != 0).all(1), np.minimum(least, some), least)
+    return (prior < 0) & (near != 0), np.maximum(1, np.ceil(share * least - 1e-9)).astype(np.int64)
+
+
+def _edited(same: np.ndarray, fresh: np.ndarray, long: int, share: float) -> np.ndarray:
+    """True where a stretch over the least place, without repeated shingles, resembles place by place."""
+    equal, once = (np.pad(np.cumsum(x, axis=1, dtype=np.int16), ((0, 0), (1, 0))) for x in (same, fresh))
+    found = np.zeros(len(same), bool)
+    for size in range(long, 2 * REACH + 2, 4):
+        lo = np.arange(max(0, REACH - size + 1), min(REACH, 2 * REACH + 1 - size) + 1)
+        common = equal[:, lo + size] - equal[:, lo]
+        found |= ((common >= share * (2 * size - common)) & (once[:, lo + size] - once[:, lo] == size)).any(1)
+    return found
+
+
+def _over_least(x: np.ndarray, y: np.ndarray, long: int, share: float) -> bool:
+    """True if a passage over the least place of ``x`` and ``y`` resembles."""
+    a, b = np.flatnonzero(x), np.flatnonzero(y)
+    at, to = REACH - int(a[0]), REACH - int(b[0])
+    x, y = x[a], y[b]
+    part = np.flatnonzero(np.isin(x, y))
+    return any(p <= at <= q and r <= to <= s for p, q, r, s in _parts(x, y, part, long + SHINGLE - 1, share))
 
 
 def _long_enough(docs: DataFrame, least: int) -> DataFrame:

@@ -288,6 +288,21 @@ def test_frequent_passages_are_found_in_salted_parts(spark, monkeypatch):
     assert {r.doc_id for r in got} == {d for d in range(80) if d % 2} - {1}
 
 
+@pytest.mark.parametrize("part", [10**6, 10])
+def test_edited_copies_are_found_where_the_smallest_document_is_edited_too(spark, monkeypatch, part):
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    monkeypatch.setattr(passages, "PART", part, raising=False)
+    r, shared, rows = random.Random(8), [f"w{k}" for k in range(55)], []
+    edited = {d: r.randrange(8, 47) if d % 8 else None for d in range(1, 41)}
+    for d, at in edited.items():
+        copy = [*shared[:at], f"edit{d}", *shared[at + 1 :]] if at else shared
+        rows.append((d, " ".join([*(f"a{d}x{k}" for k in range(30)), *copy, *(f"b{d}x{k}" for k in range(30))])))
+    sets = {d: {tuple(c[k : k + 5]) for k in range(51)} for d, t in rows for c in [t.split()[30:85]]}
+    want = {d for d in sets if any(e < d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]) for e in sets)}
+    got = {x.doc_id for x in passages.passages(frame(spark, rows)).where("NOT is_first").select("doc_id").distinct().collect()}
+    assert want and got == want
+
+
 # --- 6 ----------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
