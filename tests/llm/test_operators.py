@@ -303,6 +303,18 @@ def test_edited_copies_are_found_where_the_smallest_document_is_edited_too(spark
     assert want and got == want
 
 
+def test_passages_with_a_word_inserted_or_deleted_are_found(spark):
+    r, rows, pairs = random.Random(9), [], 120
+    for d in range(pairs):
+        copy = [f"p{d}x{k}" for k in range(52)]
+        at = r.randrange(18, 34)
+        other = [*copy[:at], "new", *copy[at:]] if d % 2 else [*copy[:at], *copy[at + 1 :]]
+        for i, w in ((d, copy), (d + pairs, other)):
+            rows.append((i, " ".join([*(f"a{i}x{k}" for k in range(30)), *w, *(f"b{i}x{k}" for k in range(30))])))
+    got = {x.doc_id for x in passages.passages(frame(spark, rows)).where("NOT is_first").collect()}
+    assert got == set(range(pairs, 2 * pairs))
+
+
 # --- 6 ----------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
