@@ -185,7 +185,8 @@ def training_rows(
 ) -> tuple[list[str], np.ndarray]:
     """A bounded sample of labelled texts, by the hash of their ids, and their labels.
 
-    At most ``most_docs`` documents, and no more once ``most_chars`` are gathered. ``trusted`` is over
+    At most ``most_docs`` documents and ``most_chars`` characters: a text that exceeds what is left of them is
+    passed over, and later ones are still taken; the first one is taken where none fits. ``trusted`` is over
     ``doc_id`` and says which labels may be learned from; null labels and ids are left out.
     """
     usable = labels.where(trusted & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("label"))
@@ -195,11 +196,14 @@ def training_rows(
     chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_docs)
     # at most most_docs rows of two numbers
     got = need(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
-    texts, ys, chars = [], [], 0
+    texts, ys, chars, over = [], [], 0, None
     for row in got.select("label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").toLocalIterator():
+        if chars + len(row.text) > most_chars:
+            over = over or row
+            continue
         chars += len(row.text)
-        if texts and chars > most_chars:
-            break
         texts.append(row.text)
         ys.append(int(row.label))
+    if over and not texts:
+        texts, ys = [over.text], [int(over.label)]
     return texts, np.array(ys, np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievework.llm import (
     chat, decontaminate, fingerprint, lengthpack, passages, quality, recurrent, simhash, tokenpack, toxicity,
 )
-from sievework.llm.common import components, local_roots
+from sievework.llm.common import components, local_roots, training_rows
 
 DOCS = "doc_id long, text string"
 rng = random.Random(5)
@@ -50,6 +50,16 @@ def test_local_roots_reach_the_smallest_node():
     assert set(root[[3, 9, 20, 21]]) == {3} and set(root[[4, 5]]) == {4} and root[7] == 7
 
 
+@pytest.mark.parametrize("longest", range(6))
+def test_a_text_beyond_the_bound_leaves_the_others_in_the_sample(spark, longest):
+    rows = [(d, "x" * (500 if d == longest else 10)) for d in range(6)]
+    labels = frame(spark, [(d, d % 2) for d in range(6)], "doc_id long, label int")
+    texts, y = training_rows(frame(spark, rows), labels, F.lit(True), "label", most_chars=60)
+    assert texts == ["x" * 10] * 5 and sorted(y.tolist()) == sorted(d % 2 for d in range(6) if d != longest)
+    alone, one = training_rows(frame(spark, rows[longest : longest + 1]), labels, F.lit(True), "label", most_chars=60)
+    assert alone == ["x" * 500] and one.tolist() == [longest % 2]
+
+
 # --- 1 ----------------------------------------------------------------------------------------------
 
 
