@@ -391,8 +391,12 @@ SELECT doc_id, length(text) BETWEEN 200 AND 15000 AS length_ok,
        regexp_matches(lower(text), '{"|".join(text.LEAKS)}') OR len(regexp_extract_all(text, '\\{{[^}}]{{200,}}\\}}')) >= 2 AS leak
 FROM documents WHERE {_ASCII}""")
 def trace_gates(spark, sf_dir):
+    return _gates(_ascii(spark, sf_dir))
+
+
+def _gates(docs):
     t = F.col("text")
-    return _ascii(spark, sf_dir).select(
+    return docs.select(
         "doc_id", text.length_within(t).alias("length_ok"), F.regexp_count(t, F.lit(r"(?i)\bthe\b")).alias("n_the"),
         text.specific(t).alias("specific"), text.leaks_reference(t).alias("leak"))
 
@@ -405,10 +409,29 @@ s AS (SELECT lang, doc_id, CASE WHEN n BETWEEN 800 AND 4000 THEN 2.0 WHEN n BETW
       + CASE WHEN len(parts) > 3 THEN len(list_distinct([lower(left(p, 30)) FOR p IN parts IF length(p) > 30])) / len(parts) * 2.0 ELSE 0.0 END AS score FROM d)
 SELECT lang, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, doc_id) <= 5""")
 def reasoning_topk(spark, sf_dir):
-    d = _ascii(spark, sf_dir).withColumn("score", text.reasoning_score(F.col("text")))
+    return _best(_ascii(spark, sf_dir))
+
+
+def _best(docs):
+    d = docs.withColumn("score", text.reasoning_score(F.col("text")))
     return rounded(R.top_k(d.select("lang", "doc_id", "score"), ["lang"], F.round("score", 9), ["doc_id"], 5))
 
 
+def _documents(spark, sf_dir):
+    """All documents; null text is as empty."""
+    return read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@query()
+def trace_gates_all(spark, sf_dir):
+    return _gates(_documents(spark, sf_dir))
+
+
+@query()
+def reasoning_topk_all(spark, sf_dir):
+    return _best(_documents(spark, sf_dir))
+
+
 @query("""
 SELECT a.item_id AS a, b.item_id AS b, levenshtein(left(a.text, 60), left(b.text, 60)) AS edits,
        round(levenshtein(left(a.text, 60), left(b.text, 60)) / greatest(length(left(a.text, 60)), length(left(b.text, 60))), 6) AS share

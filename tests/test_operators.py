@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from itertools import permutations
 
 import numpy as np
@@ -218,6 +219,22 @@ def test_ratings_of_many_groups_are_those_of_each(spark):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
 
 
+def test_gates_and_scores_cover_all_text(spark, tmp_path):
+    texts = ["é the 12 " * 30, "the leak", None, "", "ünï. " * 200, "日本語 the THE 42"]
+    rows = [(i, t, "l", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in catalog.QUERIES["trace_gates_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(6))
+    for i, t in enumerate(texts):
+        assert got[i].length_ok == (200 <= len(t or "") <= 15000)
+        assert got[i].n_the == len(re.findall(r"\bthe\b", t or "", re.I)), i
+    best = catalog.QUERIES["reasoning_topk_all"](spark, str(tmp_path)).collect()
+    # bands of length, two-digit numbers up to ten, and one distinct start of a sentence among none above 30 characters
+    score = [(2.0 if 800 <= len(t) <= 4000 else 1.0 if 500 <= len(t) <= 6000 else 0.0) + min(len(re.findall(r"\d{2,}", t)), 10) * 0.2 for t in (t or "" for t in texts)]
+    order = sorted(range(6), key=lambda i: (-round(score[i], 9), i))[:5]
+    assert sorted((r.doc_id, r.score) for r in best) == sorted((i, pytest.approx(score[i])) for i in order)
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, f in catalog.QUERIES.items():
         assert f(spark, sf_dir).columns, name
