@@ -444,6 +444,13 @@ def edit_distance(spark, sf_dir):
     return pairs.where(~F.concat("x", "y").rlike(r"[^\x00-\x7F]")).select("a", "b", F.levenshtein(x, y).alias("edits"), F.round(text.edit_share(x, y), 6).alias("share"))
 
 
+@query()
+def edit_distance_whole(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.expr("a + 1 = b"))
+    return pairs.select("a", "b", F.levenshtein("x", "y").alias("edits"), F.round(text.edit_share(F.col("x"), F.col("y")), 6).alias("share"))
+
+
 @query("""
 WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id),
 x AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(x, '\\S+')) AS w FROM p) GROUP BY ALL),

@@ -235,6 +235,24 @@ def test_gates_and_scores_cover_all_text(spark, tmp_path):
     assert sorted((r.doc_id, r.score) for r in best) == sorted((i, pytest.approx(score[i])) for i in order)
 
 
+def test_edit_distance_is_that_of_whole_items(spark, tmp_path):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    items = ["a" * 70 + "é", "a" * 70 + "ab", "日本語 " * 30, "日本 " * 30, "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.a: (r.edits, r.share) for r in catalog.QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, (p, q) in enumerate((p or "", q or "") for p, q in zip(items, items[1:])):
+        want[i] = (edits(p, q), pytest.approx(edits(p, q) / max(len(p), len(q), 1), abs=1e-6))
+    assert got == want
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, f in catalog.QUERIES.items():
         assert f(spark, sf_dir).columns, name
