@@ -185,6 +185,16 @@ def style_score(rows: DataFrame, references: DataFrame, key: list[str], vector:
     return rows.join(refs, style).select(*key, style, F.greatest(F.lit(0.0), F.array_max(F.transform("__refs", lambda r: dot(F.col(vector), r)))).alias("score"))
 
 
+def style_score_of_many(rows: DataFrame, references: DataFrame, key: list[str], vector: str, style: str) -> DataFrame:
+    """As :func:`style_score` for any number of references, 0 where a style has none; ``key`` and ``style`` name a row.
+
+    Products are reduced to their maximum as pairs are made, so that no row holds a style's vectors.
+    """
+    refs = references.select(style, F.col(vector).alias("__ref"))
+    dot = F.aggregate(F.zip_with(vector, "__ref", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(refs, style, "left").groupBy(*key, style).agg(F.greatest(F.lit(0.0), F.max(dot)).alias("score"))
+
+
 def loss_histogram(rows: DataFrame, time: str, loss: str, width: int = 100, buckets: int = 10) -> DataFrame:
     """Sums and counts of losses in half-open buckets of time; times outside are left out."""
     b = F.floor(F.col(time) / width)

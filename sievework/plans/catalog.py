@@ -164,6 +164,12 @@ def cap_key_join(spark, sf_dir):
     return d.select("doc_id", "cap_key").join(m, "cap_key")
 
 
+@query()
+def cap_key_join_all(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("cap_key", hashing.caption_key(F.col("source"), F.col("text")))
+    return d.select("doc_id", "cap_key").join(d.select("cap_key", "n_chars").distinct(), "cap_key")
+
+
 @query("""
 SELECT doc_id, ('0x' || right(sha256(doc_id::VARCHAR || '_0'), 8))::BIGINT & 2147483647 AS seed,
        'img_' || left(sha1(source), 16) AS uid,
@@ -364,6 +370,12 @@ def style_max_product(spark, sf_dir):
     return rounded(R.style_score(e, e.where("vec_id < 20").select("label", "embedding"), ["vec_id"], "embedding", "label"))
 
 
+@query()
+def style_max_product_all(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return rounded(R.style_score_of_many(e, e, ["vec_id"], "embedding", "label"))
+
+
 @query("""
 SELECT o_orderkey, round_even(list_sum([CASE WHEN (o_orderkey + i) % 4 > 0 THEN [0.25, 0.5, 0.2, 0.05][i] ELSE 0.0 END FOR i IN [1, 2, 3, 4]]), 4)::DOUBLE AS semantic,
        ((o_orderkey % 4 = 9) AND true)::INT AS strict
@@ -548,6 +560,13 @@ def judge_agree(spark, sf_dir):
     return R.agreeing(l, "l_suppkey", "l_linestatus", "choice", 2)
 
 
+@query()
+def judge_agree_all(spark, sf_dir):
+    """Orders with lines of both statuses, which are the judges, and one return flag in all of them."""
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", F.col("l_returnflag").alias("choice"))
+    return R.agreeing(l, "l_orderkey", "l_linestatus", "choice", 2)
+
+
 @query("""
 SELECT l_orderkey, count(*) AS n_done, sum(ok) AS n_valid FROM (SELECT l_orderkey, l_linenumber, max((l_returnflag <> 'R')::INT) AS ok FROM lineitem GROUP BY ALL)
 GROUP BY 1 HAVING count(*) >= 4 AND sum(ok) >= 2""")
