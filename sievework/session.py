@@ -18,6 +18,9 @@ def build_session(name: str = "sievework", master: str | None = None, **extra: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # tasks fill the cores; a worker's matrix products use one
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     } | {k.replace("__", "."): v for k, v in extra.items()}
     builder = SparkSession.builder.appName(name)
     if master:
@@ -28,10 +31,13 @@ def build_session(name: str = "sievework", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; on a cluster
+    its absence is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="sievework-"))
     return found or sc._jsc.sc().getCheckpointDir().get()
