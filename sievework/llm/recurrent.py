@@ -3,8 +3,11 @@
 The output vocabulary is a fixed number of frequent words, and for all others a fixed number of tails:
 a word's tail is found from its last bytes, and inside a tail words have their smoothed counts. A
 softmax over classes and another inside the class give the probability of the next output. The model is
-trained by truncated backpropagation on a bounded sample; counts of words are over all training texts.
-Scoring carries the state from window to window, so every text is scored from its first token to its end.
+trained by truncated backpropagation on all training texts, as counts of words are: texts are dealt to
+rounds, in a round each learner (a task with some millions of tokens) goes on from the same weights over
+its own texts, and the mean of the learners' weights begins the next round. The number of learners grows
+with the corpus. Scoring carries the state from window to window, so every text is scored from its first
+token to its end.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +23,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed, need, split_words, training_rows
+from sievework.llm.common import checkpointed, need, split_words
 
 #: CLASSES x MEMBERS outputs, of which TAILS stand for all words that have no output of their own.
-CLASSES, MEMBERS, TAILS, HIDDEN = 64, 64, 128, 32
+CLASSES, MEMBERS, TAILS, HIDDEN = 64, 64, 128, 24
 #: Words whose counts every task has; the counts of others are joined. About 30 bytes a word.
 HEAD = 1 << 17
-#: Training sample, in documents and characters; texts side by side, and steps in a window.
-TRAIN_DOCS, TRAIN_CHARS, STREAMS, WINDOW = 4_000, 9_000_000, 64, 24
+#: Texts side by side at most, and steps in a window; the learning rate at the beginning.
+STREAMS, WINDOW, RATE = 512, 24, 1.5e-2
+#: Rounds of learning, tokens of a learner in all of them, and updates that a small corpus is gone over again for in a round.
+ROUNDS, LEARNER, UPDATES = 4, 4_000_000, 40
+#: Parts that the weights of learners are averaged in, and outputs that a learner holds at once.
+_SLICES, _HELD = 32, 2_000_000
 END = b""
 #: Texts that are scored side by side, and words of which a task gathers counts before it hands them on.
 _LANES, _COUNTED = 1024, 400_000
-#: States that wait for their outputs, and bytes of text whose documents are scored together.
-_WAITING, _TOGETHER = 1 << 15, 16_000_000
+#: States that wait for their outputs, and bytes of outputs whose documents are scored together.
+_WAITING, _TOGETHER = 1 << 15, 6_000_000
 
 
 def tail_of(word: bytes) -> int:
@@ -146,89 +154,223 @@ def log_probabilities(p: dict, states: np.ndarray, out: np.ndarray) -> np.ndarra
     return got
 
 
-def train(net: Net, texts: list[np.ndarray], updates: int = 1500, rate: float = 4e-3) -> Net:
-    """Truncated backpropagation by Adam: texts follow each other in parallel streams of windows.
+def laid_out(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, outputs, whether a state goes on and whether an output counts, each as (steps, streams).
 
-    The state passes from window to window, and is zero again after each text's end. There are two passes,
-    or as many, up to 30, as make so many ``updates``. Without texts the net stays as it is.
+    Texts follow each other; the whole is cut into ``streams`` equal parts, the last of which is filled up with
+    outputs that don't count. A part that begins inside a text begins with an empty state and the start as input.
     """
-    p, start = net.p, CLASSES * MEMBERS
-    if not texts:
-        return net
-    whole = np.concatenate(texts)
-    first = np.concatenate([np.r_[True, np.zeros(t.size - 1, bool)] for t in texts])
-    steps = whole.size // STREAMS
-    if not steps:
-        return net
-    y = whole[: steps * STREAMS].reshape(STREAMS, steps)
-    begin = first[: steps * STREAMS].reshape(STREAMS, steps)
-    x = np.where(begin, start, np.c_[np.full(STREAMS, start), y[:, :-1]])
+    start, sizes = CLASSES * MEMBERS, np.array([t.size for t in texts])
+    whole = np.concatenate(texts).astype(np.int64)
+    first = np.zeros(whole.size, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    steps = -(-whole.size // streams)
+    rest = steps * streams - whole.size
+    y = np.r_[whole, np.zeros(rest, np.int64)].reshape(streams, steps).T
+    begin = np.r_[first, np.ones(rest, bool)].reshape(streams, steps).T.copy()
+    begin[0] = True
+    counts = np.r_[np.ones(whole.size, bool), np.zeros(rest, bool)].reshape(streams, steps).T
+    x = np.where(begin, start, np.concatenate([np.full((1, streams), start), y[:-1]]))
+    return np.ascontiguousarray(x), np.ascontiguousarray(y), ~begin, np.ascontiguousarray(counts)
+
+
+def _softmax_slopes(x: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """In place of the outputs ``x``, the slope of their weighted loss, whose value comes beside it."""
+    x -= x.max(1, keepdims=True)
+    rows = np.arange(at.size)
+    own = x[rows, at]
+    for lo in range(0, len(x), 2048):  # parts that stay in the processor's cache
+        np.exp(x[lo : lo + 2048], out=x[lo : lo + 2048])
+    sums = x @ np.ones(x.shape[1], np.float32)
+    x *= (weight / sums)[:, None]
+    x[rows, at] -= weight
+    return x, float(weight @ (np.log(sums) - own))
+
+
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, goes_on: np.ndarray, counts: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, float]:
+    """Of the mean loss over a window: gradients by weight, the inputs that ``embed``'s rows are of, the last state, the loss.
+
+    Backpropagation goes through the window's steps and ends at its first: ``h``, the state before it, is taken as given.
+    """
+    (n, streams), k = x.shape, HIDDEN
+    total = n * streams
+    xs = x.reshape(-1)
+    e = p["embed"][xs]
+    gx = (e @ p["wx"] + p["b"]).reshape(n, streams, 3 * k)
+    keep, carry = goes_on[:, :, None].astype(np.float32), ~goes_on
+    hs, before, c, q = (np.empty((n, streams, k), np.float32) for _ in range(4))
+    rz = np.empty((n, streams, 2 * k), np.float32)
+    for t in range(n):
+        at = before[t]
+        np.multiply(h, keep[t], out=at) if carry[t].any() else np.copyto(at, h)
+        gh = at @ p["wh"]
+        gate = np.add(gx[t, :, : 2 * k], gh[:, : 2 * k], out=rz[t])
+        gate *= np.float32(0.5)
+        np.tanh(gate, out=gate)
+        gate += np.float32(1)
+        gate *= np.float32(0.5)
+        q[t] = gh[:, 2 * k :]
+        new = np.multiply(gate[:, :k], q[t], out=c[t])
+        new += gx[t, :, 2 * k :]
+        np.tanh(new, out=new)
+        h = np.subtract(at, new, out=hs[t])
+        h *= gate[:, k:]
+        h += new
+    s, ys = hs.reshape(total, k), y.reshape(-1)
+    weight = counts.reshape(-1).astype(np.float32)
+    weight /= max(1.0, float(weight.sum()))
+    cls, g = ys // MEMBERS, {}
+    # outputs in order of their class, so that each class is a slice
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
+    s, cls, member, weight = s[order], cls[order], ys[order] % MEMBERS, weight[order]
+    d = s @ p["wc"]
+    d += p["bc"]
+    d, loss = _softmax_slopes(d, cls, weight)
+    g["wc"], g["bc"], ds = s.T @ d, np.ones(total, np.float32) @ d, d @ p["wc"].T
+    d, used = np.empty((total, MEMBERS), np.float32), [(i, slice(int(lo), int(hi))) for i, (lo, hi) in enumerate(zip(ends - np.bincount(cls, minlength=CLASSES), ends, strict=True)) if hi > lo]
+    for i, at in used:
+        np.matmul(s[at], p["wm"][i], out=d[at])
+        d[at] += p["bm"][i]
+    d, part = _softmax_slopes(d, member, weight)
+    g["wm"], g["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
+    for i, at in used:
+        np.matmul(s[at].T, d[at], out=g["wm"][i])
+        g["bm"][i] = d[at].sum(0)
+        ds[at] += d[at] @ p["wm"][i].T
+    back = np.empty_like(ds)
+    back[order] = ds
+    ds = back.reshape(n, streams, k)
+    # what a state's slope is multiplied by on its way to each gate
+    r, z = rz[:, :, :k], rz[:, :, k:]
+    to_c = 1 - c * c
+    to_c *= 1 - z
+    to_z = before - c
+    to_z *= z * (1 - z)
+    to_r = q * r
+    to_r *= 1 - r
+    dgx, dgh = np.empty((n, streams, 3 * k), np.float32), np.empty((n, streams, 3 * k), np.float32)
+    turned, dh = p["wh"].T.copy(), np.zeros((streams, k), np.float32)
+    for t in range(n - 1, -1, -1):
+        dh += ds[t]
+        flat, ahead = dgx[t], dgh[t]
+        dc = np.multiply(dh, to_c[t], out=flat[:, 2 * k :])
+        np.multiply(dh, to_z[t], out=flat[:, k : 2 * k])
+        np.multiply(dc, to_r[t], out=flat[:, :k])
+        ahead[:, : 2 * k] = flat[:, : 2 * k]
+        np.multiply(dc, r[t], out=ahead[:, 2 * k :])
+        dh *= z[t]
+        dh += ahead @ turned
+        if carry[t].any():
+            dh *= keep[t]
+    flat = dgx.reshape(total, 3 * k)
+    g["wh"] = before.reshape(total, k).T @ dgh.reshape(total, 3 * k)
+    g["wx"], g["b"] = e.T @ flat, np.ones(total, np.float32) @ flat
+    # rows of the embedding by input: sums over sorted inputs
+    order = np.argsort(xs.astype(np.int16), kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(xs[order]) != 0])
+    g["embed"] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+    return g, xs[order[first]], hs[-1], loss + part
+
+
+def train(net: Net, texts: list[np.ndarray], rate: float = RATE, last_rate: float = RATE / 10, updates: int = UPDATES) -> Net:
+    """A copy of ``net`` after truncated backpropagation by Adam over all of ``texts``.
+
+    Texts follow each other in parallel streams of windows; the state passes from window to window and is zero
+    again after each text's end. Few texts are gone over as often as makes ``updates``. Rates fall in a line.
+    Without texts the net stays as it is.
+    """
+    p = {k: v.copy() for k, v in net.p.items()}
+    size = sum(t.size for t in texts)
+    if not size:
+        return Net(p)
+    x, y, goes_on, counts = laid_out(texts, int(np.clip(size // (8 * WINDOW), 4, STREAMS)))
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    windows, k, done = -(-steps // WINDOW), HIDDEN, 0
-    passes = min(max(2, -(-updates // windows)), 30)
+    windows, done = -(-len(x) // WINDOW), 0
+    passes = max(1, updates // windows)
     for _ in range(passes):
-        h = np.zeros((STREAMS, k), np.float32)
+        h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for w in range(windows):
-            t0, t1 = w * WINDOW, min(steps, (w + 1) * WINDOW)
-            n = t1 - t0
-            xs, ys = x[:, t0:t1].T, y[:, t0:t1].T.reshape(-1)
-            keep = (~begin[:, t0:t1]).T[:, :, None].astype(np.float32)
-            e = p["embed"][xs]
-            gx = e @ p["wx"] + p["b"]
-            hs, saved = [], []
-            for t in range(n):
-                h = h * keep[t]
-                before = h
-                h, r, z, c, q = _step(p, gx[t], h)
-                hs.append(h)
-                saved.append((before, r, z, c, q))
-            s = np.concatenate(hs)
-            scale = np.float32(1 / s.shape[0])
-            g = {name: np.zeros_like(v) for name, v in p.items() if name not in ("embed",)}
-            # outputs
-            cls, member = ys // MEMBERS, ys % MEMBERS
-            d = np.exp(_log_softmax(s @ p["wc"] + p["bc"]))
-            d[np.arange(ys.size), cls] -= 1
-            d *= scale
-            g["wc"], g["bc"] = s.T @ d, d.sum(0)
-            ds = d @ p["wc"].T
-            for i, at in _by_class(cls):
-                d = np.exp(_log_softmax(s[at] @ p["wm"][i] + p["bm"][i]))
-                d[np.arange(at.size), member[at]] -= 1
-                d *= scale
-                g["wm"][i], g["bm"][i] = s[at].T @ d, d.sum(0)
-                ds[at] += d @ p["wm"][i].T
-            ds = ds.reshape(n, STREAMS, k)
-            # states, from the window's last to its first
-            dgx, dh = np.empty_like(gx), np.zeros((STREAMS, k), np.float32)
-            for t in range(n - 1, -1, -1):
-                before, r, z, c, q = saved[t]
-                dh = dh + ds[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * q * r * (1 - r)
-                dgx[t] = np.concatenate([dr, dz, dc], 1)
-                dgh = np.concatenate([dr, dz, dc * r], 1)
-                g["wh"] += before.T @ dgh
-                dh = (dh * z + dgh @ p["wh"].T) * keep[t]
-            flat = dgx.reshape(-1, 3 * k)
-            g["wx"], g["b"] = e.reshape(-1, k).T @ flat, flat.sum(0)
-            used, where = np.unique(xs.reshape(-1), return_inverse=True)
-            rows = np.zeros((used.size, k), np.float32)
-            np.add.at(rows, where, flat @ p["wx"].T)
+            at = slice(w * WINDOW, (w + 1) * WINDOW)
+            g, used, h, _ = gradients(p, x[at], y[at], goes_on[at], counts[at], h)
+            now = rate + (last_rate - rate) * done / max(1, passes * windows - 1)
             done += 1
-            fall = rate * (1 - (done - 1) / (passes * windows)) + 1e-4
-            g["embed"] = rows
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            cut = np.float32(min(1.0, 1.0 / (size + 1e-9)))
+            cut = np.float32(min(1.0, 1.0 / (np.sqrt(sum(float((v * v).sum()) for v in g.values())) + 1e-9)))
             right1, right2 = 1 - 0.9**done, 1 - 0.99**done
             for name, d in g.items():
-                at = used if name == "embed" else slice(None)
-                m1, m2 = one[name][at], two[name][at]
-                m1 = m1 + np.float32(0.1) * (d * cut - m1)
-                m2 = m2 + np.float32(0.01) * ((d * cut) ** 2 - m2)
-                one[name][at], two[name][at] = m1, m2
-                p[name][at] -= np.float32(fall / right1) * m1 / (np.sqrt(m2 / np.float32(right2)) + np.float32(1e-6))
+                to = used if name == "embed" else slice(None)
+                d = d * cut
+                m1, m2 = one[name][to], two[name][to]
+                m1 = m1 + np.float32(0.1) * (d - m1)
+                m2 = m2 + np.float32(0.01) * (d * d - m2)
+                one[name][to], two[name][to] = m1, m2
+                p[name][to] -= np.float32(now / right1) * m1 / (np.sqrt(m2 / np.float32(right2)) + np.float32(1e-6))
+    return Net(p)
+
+
+def flat(net: Net) -> np.ndarray:
+    """All weights in a row, by name."""
+    return np.concatenate([net.p[k].reshape(-1) for k in sorted(net.p)])
+
+
+def unflat(values: np.ndarray, like: Net) -> Net:
+    """The net whose weights :func:`flat` has laid in a row."""
+    out, at = {}, 0
+    for k in sorted(like.p):
+        size = like.p[k].size
+        out[k] = values[at : at + size].astype(np.float32).reshape(like.p[k].shape)
+        at += size
+    return Net(out)
+
+
+def learned(encoded: DataFrame, net: Net, tokens: int, rounds: int = ROUNDS, learner: int = LEARNER) -> Net:
+    """``net`` after ``rounds`` of learning over all texts of ``encoded`` (``out``: outputs as 16 bits, ``turn``: the round).
+
+    In a round each task trains its own copy on its texts, some ``learner`` tokens over all rounds; the mean of the
+    copies, weighted by tokens, begins the next round. Weights are averaged in slices by tasks: the driver gets one
+    net a round, whatever the number of learners. ``encoded`` should be checkpointed: it is read in each round.
+    """
+    learners, spark = max(1, round(tokens / learner)), encoded.sparkSession
+    parts = np.array_split(np.arange(flat(net).size), _SLICES)
+    for turn in range(rounds):
+        rate, last = (RATE * (1 - 0.95 * t / rounds) for t in (turn, turn + 1))
+        held = spark.sparkContext.broadcast(net)  # a net of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate, last=last) -> Iterator[pa.RecordBatch]:
+            own, texts, size, seen = held.value, [], 0, 0
+            for batch in batches:
+                for out in batch["out"]:
+                    texts.append(np.frombuffer(out.as_buffer(), np.int16))
+                    size += texts[-1].size
+                    if size >= _HELD:
+                        own, seen = train(own, texts, rate, last), seen + size
+                        texts, size = [], 0
+            if texts:
+                own, seen = train(own, texts, rate, last), seen + size
+            if seen:
+                weights = flat(own).astype(np.float64) * seen
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(_SLICES), pa.int32()), pa.array([weights[at].tobytes() for at in parts], pa.binary()), pa.array([seen] * _SLICES, pa.int64())], names=["part", "sums", "n"]
+                )
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for part, values, n in zip(batch["part"].to_pylist(), batch["sums"], batch["n"].to_pylist(), strict=True):
+                    had = sums.setdefault(part, [0.0, 0])
+                    had[0], had[1] = had[0] + np.frombuffer(values.as_buffer()), had[1] + n
+            if sums:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["part", "sums", "n"]
+                )
+
+        kind = "part int, sums binary, n long"
+        texts = encoded.where((F.col("turn") == turn)).select("out").coalesce(learners)
+        got = texts.mapInArrow(run, kind).repartition(_SLICES, "part").mapInArrow(added, kind).collect()  # _SLICES rows: one net
+        if got:
+            mean = {r.part: np.frombuffer(r.sums) / r.n for r in got}
+            net = unflat(np.concatenate([mean[i] for i in range(_SLICES)]), net)
+        held.unpersist()
     return net
 
 
@@ -327,7 +469,7 @@ class Reader:
         """Outputs; tokens; sum of log10(c + 1) and number of tokens in the head; what tails add; other words."""
         words = [*split_words(text), END]
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         out = self.v.output[at] if self.v.words else np.zeros(at.size, np.int64)
         missing = np.flatnonzero(at < 0)
         others = [words[i] for i in missing.tolist()]
@@ -356,12 +498,12 @@ class Reader:
 
 
 def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in lists of _TOGETHER bytes of text, or little more: the longest text of a list delays the others."""
+    """Batches in lists of _TOGETHER bytes of outputs, or little more: the longest text of a list delays the others."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            size += batch["text"].nbytes
+            size += batch["out"].nbytes
         if size >= _TOGETHER:
             yield held
             held, size = [], 0
@@ -375,51 +517,60 @@ def scored(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: s
     Training texts are those that ``trusted`` (over ``doc_id``) admits; null text is as empty, and an empty
     text is its end alone. With t tokens of V kinds in all training texts, ``base_score`` sums
     log10((c + 1) / (t + V + 1)), c being a token's count. ``score`` is the model's log10 probability of the
-    text. Repeated rows and null ids are scored like others; an empty table gives an empty result. Without
-    training texts all counts are zero and the net is untrained.
+    text; the model learns from all training texts. Repeated rows and null ids are scored like others; an empty
+    table gives an empty result. Without training texts all counts are zero and the net is untrained.
+    A table of fewer parts than the cluster has cores is dealt out first.
     """
     rows = need(docs, doc_id=id_col, text=text_col)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, F.xxhash64("text"))
     learn = rows.where(trusted)
     found = checkpointed(counts(learn))
     v = vocabulary(found)
-    reader = Reader(v)
-    marked = learn.where("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("label"))
-    sample, _ = training_rows(learn, marked, F.lit(True), "label", TRAIN_DOCS, TRAIN_CHARS)
-    outputs = [reader.read(t)[0] for t in dict.fromkeys(sample)]
     mass = np.zeros(CLASSES * MEMBERS)
-    np.add.at(mass, v.output[: reader.own], v.count[: reader.own])
-    mass[reader.tails] = v.tail_tokens
-    net = train(new_net(mass), outputs) if v.words else new_net(np.ones(CLASSES * MEMBERS))
-    del reader
-    held = docs.sparkSession.sparkContext.broadcast((v, net))  # HEAD words, and a net of fixed size
+    own = min(len(v.words), CLASSES * MEMBERS - TAILS)
+    np.add.at(mass, v.output[:own], v.count[:own])
+    mass[v.output[len(v.words) :]] = v.tail_tokens
+    held = docs.sparkSession.sparkContext.broadcast(v)  # HEAD words
     kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = held.value
-        reads = Reader(words)
-        for some in together(batches):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reads = Reader(held.value)
+        for batch in batches:
             out, n, base, known, extra, others = ([] for _ in range(6))
-            for t in (t for batch in some for t in batch["text"]):
+            for t in batch["text"]:
                 for one, to in zip(reads.read(t.as_py()), (out, n, base, known, extra, others), strict=True):
                     to.append(one)
-                out[-1] = out[-1].astype(np.int16)
-            score, lo = text_log10(model, out) + np.array(extra), 0
+                out[-1] = out[-1].astype(np.int16).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], batch["doc_id"], batch["turn"], pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(extra, pa.float64()), pa.array(others, pa.list_(pa.binary()))],
+                names=["row", "doc_id", "turn", "out", "n_tokens", "n_known", "base", "extra", "others"],
+            )
+
+    # numbered before the only pass that reads; the checkpoint keeps numbers and outputs together
+    turn = F.when(F.coalesce(trusted, F.lit(False)), F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).cast("int"))
+    numbered = rows.select("doc_id", "text", turn.alias("turn")).withColumn("row", F.monotonically_increasing_id())
+    each = checkpointed(numbered.mapInArrow(encode, f"row long, doc_id {kind}, turn int, out binary, n_tokens long, n_known long, base double, extra double, others array<binary>"))
+    net = learned(each, new_net(mass), v.tokens) if v.words else new_net(np.ones(CLASSES * MEMBERS))
+    model = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in together(batches):
+            out, lo = [np.frombuffer(x.as_buffer(), np.int16) for batch in some for x in batch["out"]], 0
+            score = text_log10(model.value, out)
             for batch in some:
                 at = slice(lo, lo := lo + batch.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["row"], batch["doc_id"], pa.array(n[at], pa.int64()), pa.array(known[at], pa.int64()), pa.array(base[at], pa.float64()), pa.array(score[at]), pa.array(others[at], pa.list_(pa.binary()))],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "others"],
-                )
+                columns = [batch[c] for c in ("row", "doc_id", "n_tokens", "n_known", "base")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score[at] + batch["extra"].to_numpy())], names=["row", "doc_id", "n_tokens", "n_known", "base", "score"])
 
-    # numbered before the only pass that scores; the checkpoint keeps numbers and sums together
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    each = checkpointed(numbered.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, others array<binary>"))
+    scores = each.drop("turn", "others").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
     others = each.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("m"))
     joined = others.join(found.select("word", "n"), "word").groupBy("row").agg(
         F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("add")
     )
     size = float(np.log10(v.tokens + v.distinct + 1.0))
-    return each.drop("others").join(joined, "row", "left").select(
+    return scores.join(joined, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
         (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),

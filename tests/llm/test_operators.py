@@ -365,7 +365,50 @@ def test_model_is_a_distribution_and_beats_counts(spark):
     assert recurrent.scored(frame(spark, []), F.lit(True)).count() == 0
 
 
-def test_state_is_carried_over_windows_and_gradients_are_right():
+def test_gradients_are_those_of_small_steps():
+    r = np.random.default_rng(3)
+    net = recurrent.new_net(r.random(recurrent.CLASSES * recurrent.MEMBERS))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [r.integers(0, 4096, n) for n in (30, 7, 1, 22)]
+    x, y, goes_on, counts = recurrent.laid_out(texts, 4)
+    h = r.normal(0, 0.3, (4, recurrent.HIDDEN)).astype(np.float32)
+    g, used, _, loss = recurrent.gradients(net.p, x, y, goes_on, counts, h)
+    whole = {**g, "embed": np.zeros_like(net.p["embed"])}
+    whole["embed"][used] = g["embed"]
+
+    def by_steps(q):
+        state, total = h.astype(np.float64), 0.0
+        for t in range(len(x)):
+            state = recurrent._step(q, q["embed"][x[t]] @ q["wx"] + q["b"], state * goes_on[t][:, None])[0]
+            total -= recurrent.log_probabilities(q, state, y[t])[counts[t]].sum()
+        return total / counts.sum()
+
+    assert loss == pytest.approx(by_steps(p), rel=1e-4) and counts.sum() == 60
+    for name, v in p.items():
+        for _ in range(4):
+            at = tuple(r.integers(0, n) for n in v.shape)
+            if name == "embed":
+                at = (int(r.choice(used)), at[1])
+            if name in ("wm", "bm"):
+                at = (int(r.choice(y[counts])) // recurrent.MEMBERS, *at[1:])
+            up, down = ({**p, name: v.copy()} for _ in range(2))
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            assert whole[name][at] == pytest.approx((by_steps(up) - by_steps(down)) / 2e-4, abs=2e-5), (name, at)
+
+
+def test_every_training_text_is_learned_from_and_learners_are_averaged(spark):
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 64, n).astype(np.int16) for n in (1, 2, 5, *r.integers(1, 60, 60))]
+    net = recurrent.new_net(np.ones(recurrent.CLASSES * recurrent.MEMBERS))
+    rows = spark.createDataFrame([(i % recurrent.ROUNDS, bytearray(t.tobytes())) for i, t in enumerate(texts)] + [(None, bytearray(b"xy"))], "turn int, out binary").repartition(3)
+    got = recurrent.learned(rows, net, 3 * recurrent.LEARNER)
+    before, after = (recurrent.text_log10(n, [t.astype(np.int64) for t in texts]).sum() for n in (net, got))
+    assert after > before + 20 and recurrent.unflat(recurrent.flat(got), net).p["wm"].shape == net.p["wm"].shape
+    assert np.array_equal(recurrent.flat(recurrent.learned(rows.where("turn > 99"), net, 0)), recurrent.flat(net))
+
+
+def test_state_is_carried_over_windows():
     r = np.random.default_rng(0)
     net = recurrent.new_net(r.random(recurrent.CLASSES * recurrent.MEMBERS))
     text = r.integers(0, 4096, 100)
