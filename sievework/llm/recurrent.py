@@ -12,6 +12,7 @@ token to its end.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +38,9 @@ ROUNDS, LEARNER, UPDATES = 4, 4_000_000, 40
 _SLICES, _HELD = 32, 2_000_000
 END = b""
 #: Texts that are scored side by side, and words of which a task gathers counts before it hands them on.
-_LANES, _COUNTED = 1024, 400_000
+_LANES, _COUNTED = 512, 400_000
 #: States that wait for their outputs, and bytes of outputs whose documents are scored together.
-_WAITING, _TOGETHER = 1 << 15, 6_000_000
+_WAITING, _TOGETHER = 1 << 13, 6_000_000
 
 
 def tail_of(word: bytes) -> int:
@@ -112,25 +113,14 @@ def _step(p: dict, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return c + z * (h - c), r, z, c, gh[:, 2 * k :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
-    for c in range(CLASSES):
-        if (rows := order[ends[c - 1] if c else 0 : ends[c]]).size:
-            yield c, rows
-
-
 def _log_sum_exp(x: np.ndarray, bound: float) -> np.ndarray:
     """Of each row of ``x``, which is overwritten and has no number beyond ``bound`` on either side of 0."""
     top = x.max(1) if bound > 80 else None  # single precision holds exp(80) and exp(-80)
     if top is not None:
         x -= top[:, None]
-    got = np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    for lo in range(0, len(x), 2048):  # parts that stay in the processor's cache
+        np.exp(x[lo : lo + 2048], out=x[lo : lo + 2048])
+    got = np.log(x @ np.ones(x.shape[1], x.dtype))
     return got if top is None else got + top
 
 
@@ -139,19 +129,33 @@ def _bounds(w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.abs(w).sum(-2) + np.abs(b)).max(-1)
 
 
+def _classes(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """An order of outputs by class, their classes and members in it, and the slice of each class that has any."""
+    cls = out // MEMBERS
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    sizes = np.bincount(cls, minlength=CLASSES)
+    ends = np.cumsum(sizes)
+    used = [(i, slice(int(hi - n), int(hi))) for i, (hi, n) in enumerate(zip(ends, sizes, strict=True)) if n]
+    return order, cls[order], out[order] % MEMBERS, used
+
+
 def log_probabilities(p: dict, states: np.ndarray, out: np.ndarray) -> np.ndarray:
     """Natural logs of the probabilities of the outputs ``out`` after ``states``."""
-    cls, member = out // MEMBERS, out % MEMBERS
-    x = states @ p["wc"]
+    order, cls, member, used = _classes(out)
+    s, rows = states[order], np.arange(out.size)
+    x = s @ p["wc"]
     x += p["bc"]
-    got = x[np.arange(out.size), cls]
+    got = x[rows, cls]
     got -= _log_sum_exp(x, float(_bounds(p["wc"], p["bc"])))
-    most = _bounds(p["wm"], p["bm"])
-    for c, at in _by_class(cls):
-        x = states[at] @ p["wm"][c]
-        x += p["bm"][c]
-        got[at] += x[np.arange(at.size), member[at]] - _log_sum_exp(x, float(most[c]))
-    return got
+    x = np.empty((out.size, MEMBERS), x.dtype)
+    for c, at in used:
+        np.matmul(s[at], p["wm"][c], out=x[at])
+        x[at] += p["bm"][c]
+    got += x[rows, member]
+    got -= _log_sum_exp(x, float(_bounds(p["wm"], p["bm"]).max()))
+    back = np.empty_like(got)
+    back[order] = got
+    return back
 
 
 def laid_out(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,16 +223,13 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, goes_on: np.ndarray, counts
     s, ys = hs.reshape(total, k), y.reshape(-1)
     weight = counts.reshape(-1).astype(np.float32)
     weight /= max(1.0, float(weight.sum()))
-    cls, g = ys // MEMBERS, {}
-    # outputs in order of their class, so that each class is a slice
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
-    s, cls, member, weight = s[order], cls[order], ys[order] % MEMBERS, weight[order]
+    order, cls, member, used = _classes(ys)
+    s, weight, g = s[order], weight[order], {}
     d = s @ p["wc"]
     d += p["bc"]
     d, loss = _softmax_slopes(d, cls, weight)
     g["wc"], g["bc"], ds = s.T @ d, np.ones(total, np.float32) @ d, d @ p["wc"].T
-    d, used = np.empty((total, MEMBERS), np.float32), [(i, slice(int(lo), int(hi))) for i, (lo, hi) in enumerate(zip(ends - np.bincount(cls, minlength=CLASSES), ends, strict=True)) if hi > lo]
+    d = np.empty((total, MEMBERS), np.float32)
     for i, at in used:
         np.matmul(s[at], p["wm"][i], out=d[at])
         d[at] += p["bm"][i]
@@ -374,38 +375,73 @@ def learned(encoded: DataFrame, net: Net, tokens: int, rounds: int = ROUNDS, lea
     return net
 
 
+def in_lanes(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lane and place in it of texts that are laid end to end, longest first, each in the lane that is shortest so far;
+    and the lanes' lengths. Lanes are numbered by falling length."""
+    load, lane, place = [(0, i) for i in range(lanes)], np.zeros(sizes.size, np.int64), np.zeros(sizes.size, np.int64)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        length, at = load[0]
+        lane[i], place[i] = at, length
+        heapq.heapreplace(load, (length + int(sizes[i]), at))
+    length = np.zeros(lanes, np.int64)
+    length[[at for _, at in load]] = [n for n, _ in load]
+    rank = np.empty(lanes, np.int64)
+    rank[np.argsort(-length, kind="stable")] = np.arange(lanes)
+    return rank[lane], place, np.sort(length)[::-1]
+
+
 def text_log10(net: Net, texts: list[np.ndarray]) -> np.ndarray:
     """The log10 probability of the outputs of each text, from its first to its last.
 
-    Texts of like length go side by side, window by window, with their states carried on. States wait until
-    there are enough of them for their outputs' probabilities, as few long texts make few states a window.
+    Texts go side by side in lanes, in which one begins with an empty state where another ends; the state is carried
+    from window to window. States wait until there are enough of them for their outputs' probabilities.
     """
-    p, start, sums = net.p, CLASSES * MEMBERS, np.zeros(len(texts))
-    gates = (p["embed"] @ p["wx"] + p["b"]).astype(np.float32)
-    order = sorted(range(len(texts)), key=lambda i: -texts[i].size)
-    for lo in range(0, len(order), _LANES):
-        some = np.array(order[lo : lo + _LANES])
-        sizes = np.array([texts[i].size for i in some])
-        whole, begins = np.concatenate([texts[i] for i in some]), np.cumsum(sizes) - sizes
-        h, last = np.zeros((some.size, HIDDEN), np.float32), np.full(some.size, start)
-        waiting: list[tuple[np.ndarray, ...]] = []
-        held, longest = 0, int(sizes[0])
-        for t0 in range(0, longest, WINDOW):
-            live, n = int((sizes > t0).sum()), min(WINDOW, longest - t0)
-            at = t0 + np.arange(n)[:, None]
-            y = whole[begins[:live] + np.minimum(at, sizes[:live] - 1)]
-            x = np.r_[last[:live][None], y[:-1]]
-            h, last = h[:live], y[-1]
-            states = np.empty((n, live, HIDDEN), np.float32)
-            for t in range(n):
-                h = states[t] = _step(p, gates[x[t]], h)[0]
-            real = at < sizes[:live]
-            waiting.append((states[real], y[real], np.nonzero(real)[1]))
-            held += waiting[-1][2].size
-            if held >= _WAITING or t0 + n == longest:
-                s, out, lane = map(np.concatenate, zip(*waiting, strict=True))
-                sums[some] += np.bincount(lane, log_probabilities(p, s, out), some.size)
-                waiting, held = [], 0
+    p, start, sums, k = net.p, CLASSES * MEMBERS, np.zeros(len(texts)), HIDDEN
+    sizes = np.array([t.size for t in texts], np.int64)
+    if not sizes.sum():
+        return sums
+    # gates take half of their input, as tanh makes them of it
+    half = np.r_[np.full(2 * k, 0.5), np.ones(k)].astype(np.float32)
+    gates, wh = ((p["embed"] @ p["wx"] + p["b"]) * half).astype(np.float32), (p["wh"] * half).astype(np.float32)
+    lane, place, length = in_lanes(sizes, min(_LANES, len(texts)))
+    steps = -(-int(length[0]) // WINDOW) * WINDOW
+    y, owner, begins = np.zeros((length.size, steps), np.int16), np.full((length.size, steps), -1, np.int32), np.zeros((length.size, steps), bool)
+    for i, (at, to, n) in enumerate(zip(lane.tolist(), place.tolist(), sizes.tolist(), strict=True)):
+        y[at, to : to + n], owner[at, to : to + n] = texts[i], i
+        begins[at, to : to + 1] = True
+    h, last = np.zeros((length.size, k), np.float32), np.full(length.size, start)
+    waiting: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for t0 in range(0, steps, WINDOW):
+        live, at = int((length > t0).sum()), slice(t0, t0 + WINDOW)
+        ys, own, new_text = y[:live, at].T.astype(np.int64), owner[:live, at].T, begins[:live, at].T
+        x = np.where(new_text, start, np.concatenate([last[:live][None], ys[:-1]]))
+        h, last = h[:live], ys[-1]
+        states = np.empty((WINDOW, live, k), np.float32)
+        resets, going = new_text.any(1), (~new_text[:, :, None]).astype(np.float32)
+        for t in range(WINDOW):
+            if resets[t]:
+                h = h * going[t]
+            g, gh = gates[x[t]], h @ wh
+            gate = g[:, : 2 * k]
+            gate += gh[:, : 2 * k]
+            np.tanh(gate, out=gate)
+            gate += np.float32(1)
+            gate *= np.float32(0.5)
+            new = gh[:, 2 * k :]
+            new *= gate[:, :k]
+            new += g[:, 2 * k :]
+            np.tanh(new, out=new)
+            h = np.subtract(h, new, out=states[t])
+            h *= gate[:, k:]
+            h += new
+        real = own >= 0
+        waiting.append((states.reshape(-1, k), ys.reshape(-1), own.reshape(-1)) if real.all() else (states[real], ys[real], own[real]))
+        held += waiting[-1][2].size
+        if held >= _WAITING or t0 + WINDOW == steps:
+            s, out, text = map(np.concatenate, zip(*waiting, strict=True))
+            sums += np.bincount(text, log_probabilities(p, s, out), sums.size)
+            waiting, held = [], 0
     return sums / np.log(10)
 
 
