@@ -4,11 +4,12 @@ A document is the string of its five-word shingles. Under a hash function, the C
 string's hashes groups all stretches of at least a given length by their least shingle: a node is a compact
 window (left, least, right), and each stretch within it that covers the least place has that shingle as its
 min-hash. Near duplicates have windows with one value in both documents under a function with a chance equal
-to their resemblance. Windows meet by that value alone. Those that meet others carry the shingles around their
-least place; in a group each window looks for a smaller document of which a passage over the least place
-resembles its own, by the rarest shingles first, until one is found or none is left. So a common phrase makes
-no link and every context of a group can be met. Links of two documents are joined as intervals over all
-functions, and each joined passage is verified word by word.
+to their resemblance; several functions make a miss unlikely. Windows meet by that value and the shingles
+beside it. Windows that meet are linked to that of the smallest document; the links of two documents are
+joined as intervals over all functions, and in each joined interval the longest stretches that resemble are
+found word by word. A window whose link leads to no such stretch may still resemble another one of its group:
+those carry the shingles around their least place, and each is compared with all of its group that share rare
+shingles with it, until one is found or none is left.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from sievework.llm.common import checkpointed, need, runs_of, small_or_shuffled,
 SHINGLE, SHARE = 5, 0.8
 #: Words in the shortest passage, and hash functions.
 LEAST, HASHES = 50, 4
+#: Shingles on either side of the least one that are in a window's key.
+BESIDE = 1
 #: Shingles on either side of a window's least place that windows are compared by, as 16 bits each; 0 is beyond the text.
 REACH = 49
 #: Pairs of windows that are compared at a time.
 PAIRS = 2_000
-#: One document in so many shows which keys are frequent; such keys are dealt to parts of PART rows, at most so many.
-SAMPLE, OFTEN, SALTS, PART = 64, 8, 64, 16_384
+#: One document in so many shows which keys are frequent; such keys are dealt to as many parts as give about PART rows each.
+SAMPLE, OFTEN, PART = 64, 8, 2_048
 _LOW = (1 << 32) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors, so that the order of words counts.
@@ -94,24 +97,37 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(left, place of the first least value, right) of all stretches of at least ``least`` places.
 
     Every such stretch is covered by one window alone: the nodes of the Cartesian tree that are long enough.
+    Places that share their least value are taken together, so that a run of one value is passed over once.
     """
-    out, todo = [], [(0, h.size)]
+    out, todo = [], [(0, h.size, None)]
     while todo:
-        a, b = todo.pop()
+        a, b, above = todo.pop()
         if b - a < least:
             continue
-        c = a + int(h[a:b].argmin())
-        out.append((a, c, b - 1))
-        todo.append((a, c))
-        todo.append((c + 1, b))
+        part = h[a:b]
+        c = a + int(part.argmin())
+        if above is not None and h[c] == above:
+            ties = (a + np.flatnonzero(part == above)).tolist()
+        else:
+            ties = [c]
+        low, left = h[c], a
+        for c in ties:
+            if b - left < least:
+                break
+            out.append((left, c, b - 1))
+            todo.append((left, c, None))
+            left = c + 1
+        # the rest may begin with the same value again
+        todo.append((left, b, low if len(ties) == 1 else None))
     return out
 
 
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
     """``key``, ``doc``, ``place``, ``span`` of the compact windows of ``docs`` (``doc``, ``text``).
 
-    A key stands for the function and the least shingle, which is at ``place``. A span has the left end in its
-    upper half and the right end in its lower half.
+    A key stands for the function, the least shingle, which is at ``place``, and the shingles beside it. A span
+    has the left end in its upper half and the right end in its lower half. Windows of one key that follow each
+    other in a run of repeated words are one.
     """
     long = least - SHINGLE + 1
     seeds = _mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _ODD)
@@ -135,45 +151,106 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
         """The rows of some documents, one function at a time; places are counted through all of them."""
         sizes, h = np.array([x.size for x in strings]), np.concatenate(strings)
         begins = np.cumsum(sizes) - sizes
+        around = h.copy()
+        for k in range(1, BESIDE + 1):
+            before, after = np.roll(h, k), np.roll(h, -k)
+            for lo, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+                before[lo : lo + k], after[lo + n - k : lo + n] = 0, 0
+            around = _mixed(around + before * _FACTORS[k] + after * _FACTORS[32 + k])
         for k in range(hashes):
             mixed = _mixed(h ^ seeds[k])
             found = [compact_windows(mixed[b : b + n], long) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
             of = np.repeat(np.arange(sizes.size), [len(f) for f in found])
             left, place, right = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 3 * of.size).reshape(-1, 3).T
-            span, doc = (left << 32) + right, np.array(ids, np.int64)[of]
-            key = _mixed(mixed[place + begins[of]] + np.uint64(k))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), doc, place, span)], names=["key", "doc", "place", "span"])
+            key = _mixed(around[place + begins[of]] + np.uint64(k + 1) * _ODD).view(np.int64)
+            by = np.lexsort((left, right, key, of))
+            same = (np.diff(key[by]) == 0) & (np.diff(right[by]) == 0) & (np.diff(of[by]) == 0)
+            by = by[np.r_[True, ~same]] if by.size else by
+            span, doc = (left[by] << 32) + right[by], np.array(ids, np.int64)[of[by]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[by], doc, place[by].astype(np.int32), span)], names=["key", "doc", "place", "span"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, place long, span long")
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, place int, span long")
 
 
-def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int, int]], least: int, share: float) -> list[tuple[int, int, int, int]]:
+def aligned(own: np.ndarray, other: np.ndarray, spans: list[tuple[int, int, int, int]], least: int, share: float, shift: list[int] | None = None) -> list[tuple[int, int, int, int]]:
     """Verified passages (begin, end, begin, end), in shingles of ``own`` and ``other``, that ``spans`` lead to.
 
-    A span is (left, right) of a window here and there. Spans that overlap are joined first. In a joined
-    span, the places that have a shingle in common with the other side are parted at long gaps, and again at
-    the widest gap while a part does not count; ends are the outermost common places. A passage counts if it
-    has enough words and the sets of shingles on both sides resemble by ``share``.
+    A span is (left, right) of a window here and there, and ``shift`` how far its least place there is from that
+    here. Spans that overlap are joined first. In a joined span, the places that have a shingle in common with the
+    other side follow each other on both sides; of all stretches from one such place to another that resemble by
+    ``share``, the longest are found at once (:func:`_stretches`). A passage counts if it has enough words and the
+    sets of shingles on both sides resemble by ``share``.
     """
     joined: list[list[int]] = []
-    for s in sorted(spans):
+    for s in sorted((*s, o) for s, o in zip(spans, shift or [s[2] - s[0] for s in spans], strict=True)):
         last = joined[-1] if joined else None
         if last and s[0] <= last[1] and s[2] <= last[3] and s[3] >= last[2]:
             last[1], last[2], last[3] = max(last[1], s[1]), min(last[2], s[2]), max(last[3], s[3])
         else:
             joined.append(list(s))
     out: set[tuple[int, int, int, int]] = set()
-    for a0, a1, b0, b1 in joined:
+    for a0, a1, b0, b1, offset in joined:
         x, y = own[a0 : a1 + 1], other[b0 : b1 + 1]
-        common = np.flatnonzero(np.isin(x, y))
-        if not common.size:
+        part, there = _common(x, y, offset + a0 - b0)
+        if not part.size:
             continue
-        # an edited word breaks SHINGLE shingles; a longer gap parts two passages
-        for part in np.split(common, np.flatnonzero(np.diff(common) > 4 * SHINGLE) + 1):
-            out.update((a0 + a, a0 + b, b0 + c, b0 + d) for a, b, c, d in _parts(x, y, part, least, share))
+        for lo, hi in _stretches(part, there, least, share):
+            a, b, c, d = int(part[lo]), int(part[hi]), int(there[lo : hi + 1].min()), int(there[lo : hi + 1].max())
+            if _resemble(x[a : b + 1], y[c : d + 1], share):
+                out.add((a0 + a, a0 + b, b0 + c, b0 + d))
+            else:  # repeated shingles count once in a set
+                out.update((a0 + a, a0 + b, b0 + c, b0 + d) for a, b, c, d in _parts(x, y, part[lo : hi + 1], least, share))
     return sorted(out)
 
 
+def _common(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``x`` whose shingle ``y`` has, and the places there: of several, that nearest to ``offset`` away."""
+    order = np.argsort(y, kind="stable")
+    values = y[order]
+    lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+    part = np.flatnonzero(hi > lo)
+    first, many = lo[part], hi[part] - lo[part]
+    there = order[first]
+    for i in np.flatnonzero(many > 1).tolist():
+        spots = order[first[i] : first[i] + many[i]]
+        there[i] = spots[np.abs(spots - part[i] - offset).argmin()]
+    return part, there
+
+
+def _resemble(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    p, q = np.unique(x), np.unique(y)
+    both = np.intersect1d(p, q, assume_unique=True).size
+    return both >= share * (p.size + q.size - both) - 1e-9
+
+
+def _stretches(part: np.ndarray, there: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """First and last index of stretches of common places that resemble; together they cover what all such stretches do.
+
+    From index i to j there are j - i + 1 common shingles in ``part[j] - part[i] + 1`` places here and as many there
+    as the way from ``there[i]`` to ``there[j]`` is long. So the share is reached where a sum over places, which rises
+    by common shingles and falls by all, is not lower at j than at i. For each i the last such j is found in sorted
+    suffix maxima; stretches inside others are left out, and of those that overlap as few as cover the same are kept.
+    """
+    n = np.arange(part.size)
+    out: list[tuple[int, int]] = []
+    for way in (np.r_[0, np.cumsum(np.abs(np.diff(there)))], part - part[0]):
+        rise = (1 + share) * n - share * (part + way)
+        top = np.maximum.accumulate(rise[::-1])[::-1]
+        # top falls, so that the last index with top >= rise - (1 - share) is found by bisection
+        last = part.size - 1 - np.searchsorted(top[::-1], rise - (1 - share) - 1e-9, "left")
+        last = np.maximum(last, n)
+        long = part[last] - part + SHINGLE >= least
+        best = np.flatnonzero(long & (last > np.r_[-1, np.maximum.accumulate(last)[:-1]]))
+        kept: list[tuple[int, int]] = []
+        for i, j in zip(best.tolist(), last[best].tolist(), strict=True):
+            # the last but one kept reaches this one: the last adds nothing
+            while len(kept) > 1 and kept[-2][1] + 1 >= i:
+                kept.pop()
+            kept.append((i, j))
+        out += [k for k in kept if not any(a <= k[0] and k[1] <= b for a, b in out)]
+    return out
+
+
 def _ends(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Left and right ends, here and there, of packed spans."""
     return list(zip((own >> 32).tolist(), (own & _LOW).tolist(), (other >> 32).tolist(), (other & _LOW).tolist(), strict=True))
@@ -208,39 +285,71 @@ def _parts(x: np.ndarray, y: np.ndarray, part: np.ndarray, least: int, share: fl
 def passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, share: float = SHARE, hashes: int = HASHES
 ) -> DataFrame:
-    """``doc_id``, ``begin``, ``end`` (code points), ``first_doc_id``, ``is_first``: every passage that repeats.
+    """``doc_id``, ``begin``, ``end`` (code points), ``first_doc_id``, ``is_first``, ``text_hash``: every passage that repeats.
 
     Passages of at least ``least`` words whose sets of five-word shingles resemble by ``share`` are near
     duplicates (lower-cased words). Each is named with a smaller document that it was verified against; the
-    passage there is returned with ``is_first``, which says no more than that another one names it. Passages of one document that overlap and name one
-    document are one. Equal texts are compared once: the smallest id stands for them, and each other copy is
-    a passage as a whole. Repeats inside one document are left alone. Whole texts are read. Null, empty and
-    short texts have no passages; rows without an id are left out, and rows that repeat id and text count
-    once; of rows that share an id alone, the one with the smallest text counts.
+    passage there is returned with ``is_first``, which says no more than that another one names it. Equal texts are
+    compared once: the smallest id stands for them, and each other copy is a passage as a whole. Repeats inside
+    one document are left alone. Whole texts are read. Null, empty and short texts have no passages; rows without
+    an id are left out. Ids are whole numbers; others are an error. Rows that repeat id and text count once. Rows
+    that share an id alone are documents of their own, which ``text_hash`` tells apart; the one with the least hash
+    has the id's place in the order, the others come after all ids.
     """
-    rows = need(docs, doc=id_col, text=text_col).where("doc IS NOT NULL AND text IS NOT NULL")
-    # a text hashed twice stands for it; text itself is not shuffled for this
-    one = rows.select(F.col("doc").cast("long").alias("doc"), "text", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
-    ids = checkpointed(
-        one.groupBy("doc").agg(F.min(F.struct("x", "y", F.length("text").alias("chars"))).alias("t"), F.count(F.lit(1)).alias("rows")).select("doc", "t.*", "rows")
-    )
-    firsts = checkpointed(ids.groupBy("x", "y").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    copies = checkpointed(ids.join(small_or_shuffled(firsts), ["x", "y"]).select("doc", "first", "chars"))
-    if not ids.where("rows > 1").isEmpty():
-        one = one.join(ids.select("doc", "x", "y"), ["doc", "x", "y"], "left_semi").dropDuplicates(["doc"])
-    later = copies.where("doc <> first").select("doc")
-    distinct = one.select("doc", "text").join(small_or_shuffled(later), "doc", "left_anti")
-    met = checkpointed(_met(distinct, least, share, hashes))
-    marks = checkpointed(met.groupBy("doc", "first").agg(F.collect_set(F.struct("span", "first_span")).alias("spans")))
-    found = checkpointed(_verified(distinct, marks, least, share))
-    own = found.select(F.col("doc").alias("doc_id"), "begin", "end", F.col("first").alias("first_doc_id"), F.lit(False).alias("is_first"))
-    there = found.select(F.col("first").alias("doc_id"), F.col("first_begin").alias("begin"), F.col("first_end").alias("end"), F.col("first").alias("first_doc_id"), F.lit(True).alias("is_first"))
+    ids = _identified(docs, id_col, text_col)
+    distinct, copies = _distinct_texts(docs, ids, id_col, text_col)
+    met = checkpointed(_met(distinct, least, hashes))
+    found = checkpointed(_verified(distinct, _marks(met), least, share))
+    again = _others(distinct, met, found, least, share)
+    if again is not None:
+        found = found.unionByName(checkpointed(_verified(distinct, _marks(again), least, share)))
+    found = found.where("begin IS NOT NULL")
     # whole copies; texts below the least number of words are no passages
     enough = _long_enough(distinct.join(small_or_shuffled(copies.where("doc = first").select("doc")), "doc", "left_semi"), least)
     whole = copies.join(small_or_shuffled(checkpointed(enough.withColumnRenamed("doc", "first"))), "first").select(
-        F.col("doc").alias("doc_id"), F.lit(0).alias("begin"), F.col("chars").alias("end"), F.col("first").alias("first_doc_id"), (F.col("doc") == F.col("first")).alias("is_first")
+        "doc", F.lit(0).alias("begin"), F.col("chars").alias("end"), "first", (F.col("doc") == F.col("first")).alias("is_first")
     )
-    return own.unionByName(there).unionByName(whole).distinct()
+    own = found.select("doc", "begin", "end", "first", F.lit(False).alias("is_first"))
+    there = found.select(F.col("first").alias("doc"), F.col("first_begin").alias("begin"), F.col("first_end").alias("end"), "first", F.lit(True).alias("is_first"))
+    every = own.unionByName(there).unionByName(whole).distinct()
+    names = ids.select("doc", F.col("id").alias("doc_id"), F.col("x").alias("text_hash"))
+    return every.join(names, "doc").join(names.select(F.col("doc").alias("first"), F.col("doc_id").alias("first_doc_id")), "first").select(
+        "doc_id", "begin", "end", "first_doc_id", "is_first", "text_hash"
+    )
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` (a number of its own), ``id``, ``x``, ``y`` (hashes of the text), ``chars``, ``rows`` of every id and text."""
+    each = checkpointed(_hashed(docs, id_col, text_col).groupBy("id", "x", "y").agg(F.max(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")))
+    shared = checkpointed(each.groupBy("id").agg(F.count(F.lit(1)).alias("texts"), F.min("x").alias("least")).where("texts > 1"))
+    if shared.isEmpty():
+        return each.withColumn("doc", F.col("id"))
+    above = each.agg(F.max("id").alias("m")).collect()[0].m
+    other = checkpointed(each.join(small_or_shuffled(shared), "id").where("x <> least").select("id", "x", "y", F.monotonically_increasing_id().alias("n")))
+    return checkpointed(each.join(small_or_shuffled(other), ["id", "x", "y"], "left").withColumn("doc", F.coalesce(F.col("n") + F.lit(above + 1), F.col("id"))).drop("n"))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``text`` and two hashes that stand for the text, which is not shuffled for this."""
+    rows = need(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
+    return rows.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+
+
+def _distinct_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc``, ``text`` of one document for each text; and ``doc``, ``first``, ``chars`` of those with copies."""
+    firsts = checkpointed(ids.groupBy("x", "y").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copies = checkpointed(ids.join(small_or_shuffled(firsts), ["x", "y"]).select("doc", "id", "x", "y", "first", "chars"))
+    key, rows = ["id", "x", "y"], _hashed(docs, id_col, text_col)
+    later = copies.where("doc <> first").select(*key)
+    rows = rows.join(small_or_shuffled(later), key, "left_anti")
+    twice = checkpointed(ids.where("rows > 1").select(*key))
+    if not twice.isEmpty():
+        twice = small_or_shuffled(twice)
+        rows = rows.join(twice, key, "left_anti").unionByName(rows.join(twice, key, "left_semi").dropDuplicates(key))
+    other = checkpointed(ids.where("doc <> id").select(*key, "doc"))
+    if other.isEmpty():
+        return rows.select(F.col("id").alias("doc"), "text"), copies
+    return rows.join(small_or_shuffled(other), key, "left").select(F.coalesce("doc", "id").alias("doc"), "text"), copies
 
 
 def _sampled():
@@ -248,23 +357,92 @@ def _sampled():
     return F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0
 
 
-def _met(docs: DataFrame, least: int, share: float, hashes: int) -> DataFrame:
-    """Windows linked to ones of smaller documents that resemble them: ``doc``, ``span``, ``first``, ``first_span``.
+_WINDOW = "key long, salt long, doc long, place int, span long"
+_LINK = f"{_WINDOW}, first long, first_place int, first_span long"
 
-    A key that the sampled documents have often is dealt to SALTS parts. A window that finds nothing in its
-    own part then looks in all the others.
+
+def _met(docs: DataFrame, least: int, hashes: int) -> DataFrame:
+    """Windows linked to that of the smallest document in their group: the columns of _LINK.
+
+    Windows are shuffled once. A key that the sampled documents have often is dealt to parts; the parts' first
+    windows are then linked to the first of all, so that a chain joins every window. A task holds one batch.
     """
     counted = windows(docs.where(_sampled()), least, hashes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    often = checkpointed(counted.select("key", F.least(F.lit(SALTS), F.ceil(F.col("n") * SAMPLE / PART)).cast("long").alias("parts")).where("parts > 1"))
+    often = checkpointed(counted.select("key", F.ceil(F.col("n") * SAMPLE / PART).cast("long").alias("parts")).where("parts > 1"))
     salted = windows(docs, least, hashes).join(small_or_shuffled(often), "key", "left").select(
         "key", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.col("parts"))).otherwise(F.lit(0)).alias("salt"), "doc", "place", "span"
     )
-    shared = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_shared, "key long, salt long, doc long, place long, span long")
-    by_doc = checkpointed(shared.groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "place", "span")).alias("windows")))
+
+    def to_first(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "place").mapInArrow(_to_first, _LINK)
+
+    found = checkpointed(to_first(salted))
+    # the first of each part of a frequent key, once more under one salt
+    tops = found.where("salt > 0 AND doc = first").select("key", F.lit(0).cast("long").alias("salt"), "doc", "place", "span")
+    return found.unionByName(to_first(tops)).where("doc > first")
+
+
+def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of larger documents beside the first row of their run; of salted runs, the first row itself as well."""
+    names = ["key", "salt", "doc", "place", "span"]
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[c].to_numpy() for c in names]
+        new = starts_of(pa.Table.from_batches([batch]), ["key", "salt"])
+        goes_on = held is not None and held[0] == columns[0][0] and held[1] == columns[1][0]
+        new[0] = not goes_on
+        # the run that goes on has its first row before this batch's rows
+        first = [np.r_[h, c] for h, c in zip(held or [c[0] for c in columns], columns, strict=True)]
+        at = np.maximum.accumulate(np.where(new, np.arange(1, new.size + 1), 0))
+        first = [f[at] for f in first]
+        held = [f[-1] for f in first]
+        keep = (columns[2] > first[2]) | (new & (columns[1] > 0))
+        if keep.any():
+            got = [c[keep] for c in (*columns, *first[2:])]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, [*kinds, *kinds[2:]], strict=True)], names=[*names, "first", "first_place", "first_span"])
+
+
+def _marks(links: DataFrame) -> DataFrame:
+    """For each two documents the windows that link them: as many as the smaller text can have."""
+    return checkpointed(links.groupBy("doc", "first").agg(F.collect_set(F.struct("place", "span", "first_place", "first_span")).alias("spans")))
+
+
+def _others(docs: DataFrame, met: DataFrame, found: DataFrame, least: int, share: float) -> DataFrame | None:
+    """Links, to others of their group, of windows of ``met`` whose own link led to no passage over their place.
+
+    Groups of two have no others; None if there is nothing to link. The rows of a group that has such a window
+    carry the shingles around their least place and are compared (:func:`_linked`). Groups of more than PART rows
+    are dealt to parts by count; a window that finds nothing in its own part then looks in all the others, so that
+    a group of n windows that resemble nothing costs n * n / PART rows.
+    """
+    passed = found.where("begin IS NOT NULL").groupBy("doc").agg(F.collect_set(F.struct("at", "to")).alias("passed"))
+    lost = found.where("begin IS NULL").select("doc", "first", F.explode("lost").alias("place")).join(passed, "doc", "left").where(
+        ~F.coalesce(F.exists("passed", lambda p: (p["at"] <= F.col("place")) & (F.col("place") <= p["to"])), F.lit(False))
+    ).select("doc", "first", "place")
+    lost = checkpointed(lost.distinct())
+    if lost.isEmpty():
+        return None
+    seeking = met.join(small_or_shuffled(lost), ["doc", "first", "place"], "left_semi").select("key", "doc", "place").distinct()
+    seeking = checkpointed(seeking)
+    keys = small_or_shuffled(checkpointed(seeking.select("key").distinct()))
+    some = met.join(keys, "key", "left_semi")
+    group = some.select("key", "doc", "place", "span").unionByName(some.select("key", F.col("first").alias("doc"), F.col("first_place").alias("place"), F.col("first_span").alias("span"))).distinct()
+    group = checkpointed(group)
+    sizes = group.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc").alias("docs")).where("n > 2")
+    sizes = checkpointed(sizes.select("key", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
+    if sizes.isEmpty():
+        return None
+    rows = group.join(small_or_shuffled(sizes), "key").join(
+        small_or_shuffled(seeking.withColumn("seeks", F.lit(True))), ["key", "doc", "place"], "left"
+    ).select("key", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.col("parts"))).otherwise(F.lit(0)).alias("salt"), "doc", "place", "span", F.coalesce("seeks", F.lit(False)).alias("seeks"))
+    by_doc = checkpointed(rows.groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "place", "span", "seeks")).alias("windows")))
 
     def around(some: DataFrame) -> DataFrame:
         texts = docs.join(small_or_shuffled(some.select("doc")), "doc", "left_semi")
-        return some.join(texts, "doc").select("doc", "windows", "text").mapInArrow(_around, "key long, salt long, doc long, span long, around binary")
+        return some.join(texts, "doc").select("doc", "windows", "text").mapInArrow(_around, f"{_WINDOW}, seeks boolean, around binary")
 
     def linked(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,26 +450,16 @@ def _met(docs: DataFrame, least: int, share: float, hashes: int) -> DataFrame:
                 yield _linked(part, least - SHINGLE + 1, share)
 
         return checkpointed(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "span").mapInArrow(
-            run, "key long, salt long, doc long, span long, around binary, first long, first_span long"
+            run, f"{_WINDOW}, around binary, first long, first_place int, first_span long"
         ))
 
-    found = linked(around(by_doc).withColumn("seeks", F.lit(True)))
-    own = found.where("first IS NULL").join(small_or_shuffled(often), "key")
-    seekers = own.select("key", F.col("salt").alias("own"), "doc", "span", "around", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("salt"))
+    out = linked(around(by_doc))
+    own = out.where("first IS NULL").join(small_or_shuffled(sizes.where("parts > 1")), "key")
+    seekers = own.select("key", F.col("salt").alias("own"), "doc", "place", "span", "around", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("salt"))
     if not seekers.isEmpty():
-        dealt = around(by_doc.withColumn("windows", F.filter("windows", lambda w: w["salt"] > 0)).where(F.size("windows") > 0))
-        seeking = seekers.where("salt <> own").select("key", "salt", "doc", "span", "around", F.lit(True).alias("seeks"))
-        found = found.unionByName(linked(dealt.withColumn("seeks", F.lit(False)).unionByName(seeking)))
-    return found.where("first IS NOT NULL").select("doc", "span", "first", "first_span")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key two documents have, and all of salted keys."""
-    for rows in runs_of(batches, ["key", "salt"]):
-        new, other = starts_of(rows, ["key", "salt"]), starts_of(rows, ["key", "salt", "doc"])
-        run = np.cumsum(new) - 1
-        keep = (np.bincount(run, other)[run] > 1) | (rows["salt"].to_numpy() > 0)
-        yield from rows.filter(pa.array(keep)).to_batches()
+        dealt = around(by_doc.withColumn("windows", F.filter("windows", lambda w: w["salt"] > 0)).where(F.size("windows") > 0)).withColumn("seeks", F.lit(False))
+        out = out.unionByName(linked(dealt.unionByName(seekers.where("salt <> own").withColumn("seeks", F.lit(True)).drop("own"))))
+    return out.where("first IS NOT NULL").drop("around")
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,17 +467,18 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
         ends = batch["windows"].offsets.to_numpy()
-        fields = [batch["windows"].values.field(k).to_numpy() for k in range(4)]
+        fields = [batch["windows"].values.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
         for i, (doc, text) in enumerate(zip(batch["doc"].to_pylist(), batch["text"], strict=True)):
             h = hasher.shingles(text.as_py())
             short = np.concatenate([np.zeros(REACH, np.uint16), (h % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16), np.zeros(REACH, np.uint16)])
             for lo in range(int(ends[i]), int(ends[i + 1]), 20_000):
-                key, salt, place, span = (f[lo : min(lo + 20_000, int(ends[i + 1]))] for f in fields)
+                key, salt, place, span, seeks = (f[lo : min(lo + 20_000, int(ends[i + 1]))] for f in fields)
                 near = np.lib.stride_tricks.sliding_window_view(short, 2 * REACH + 1)[place]
-                span = (np.maximum(np.minimum(span >> 32, place - REACH), 0) << 32) + np.minimum(np.maximum(span & _LOW, place + REACH), h.size - 1)
+                wide = place.astype(np.int64)
+                span = (np.maximum(np.minimum(span >> 32, wide - REACH), 0) << 32) + np.minimum(np.maximum(span & _LOW, wide + REACH), h.size - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(salt), pa.array(np.full(key.size, doc)), pa.array(span), pa.array([x.tobytes() for x in near], pa.binary())],
-                    names=["key", "salt", "doc", "span", "around"],
+                    [pa.array(key), pa.array(salt), pa.array(np.full(key.size, doc)), pa.array(place, pa.int32()), pa.array(span), pa.array(seeks, pa.bool_()), pa.array([x.tobytes() for x in near], pa.binary())],
+                    names=["key", "salt", "doc", "place", "span", "seeks", "around"],
                 )
 
 
@@ -321,7 +490,7 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
     those of one shingle from the smallest document on, until the seeking row has a passage over its least
     place that resembles.
     """
-    key, salt, doc, span = (rows[c].to_numpy() for c in ("key", "salt", "doc", "span"))
+    key, salt, doc, place_of, span = (rows[c].to_numpy() for c in ("key", "salt", "doc", "place", "span"))
     seeks, n, width = rows["seeks"].to_numpy(), rows.num_rows, 2 * REACH + 1
     near = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint16).reshape(n, width)
     run = np.cumsum(starts_of(rows, ["key", "salt"])) - 1
@@ -384,8 +553,8 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
     to = np.r_[j, rest]
     around = pa.concat_arrays([pa.nulls(i.size, pa.binary()), pa.array([near[r].tobytes() for r in rest], pa.binary())])
     return pa.RecordBatch.from_arrays(
-        [pa.array(key[here]), pa.array(salt[here]), pa.array(doc[here]), pa.array(span[here]), around, pa.array(doc[to], mask=none), pa.array(span[to], mask=none)],
-        names=["key", "salt", "doc", "span", "around", "first", "first_span"],
+        [pa.array(key[here]), pa.array(salt[here]), pa.array(doc[here]), pa.array(place_of[here], pa.int32()), pa.array(span[here]), around, pa.array(doc[to], mask=none), pa.array(place_of[to], pa.int32(), mask=none), pa.array(span[to], mask=none)],
+        names=["key", "salt", "doc", "place", "span", "around", "first", "first_place", "first_span"],
     )
 
 
@@ -423,8 +592,7 @@ def _over_least(x: np.ndarray, y: np.ndarray, long: int, share: float) -> bool:
     a, b = np.flatnonzero(x), np.flatnonzero(y)
     at, to = REACH - int(a[0]), REACH - int(b[0])
     x, y = x[a], y[b]
-    part = np.flatnonzero(np.isin(x, y))
-    return any(p <= at <= q and r <= to <= s for p, q, r, s in _parts(x, y, part, long + SHINGLE - 1, share))
+    return any(p <= at <= q and r <= to <= s for p, q, r, s in aligned(x, y, [(0, x.size - 1, 0, y.size - 1)], long + SHINGLE - 1, share, [to - at]))
 
 
 def _long_enough(docs: DataFrame, least: int) -> DataFrame:
@@ -437,7 +605,10 @@ def _long_enough(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, marks: DataFrame, least: int, share: float) -> DataFrame:
-    """The passages that the marked spans lead to, in code points of both texts."""
+    """The passages that the marked spans lead to, in code points of both texts and (``at``, ``to``) shingles of the first.
+
+    For two documents with windows whose least place is in no such passage, one more row has those places (``lost``).
+    """
     def texts(side: str) -> DataFrame:
         """The texts of one side alone, read again rather than kept."""
         return docs.select(F.col("doc").alias(side), F.col("text").alias(f"{side}_text")).join(
@@ -445,34 +616,38 @@ def _verified(docs: DataFrame, marks: DataFrame, least: int, share: float) -> Da
         )
 
     pairs = marks.join(texts("doc"), "doc").join(texts("first"), "first")
+    names = ["doc", "first", "begin", "end", "first_begin", "first_end", "at", "to", "lost"]
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, kept, y, other = Hasher(), None, None, None
         for batch in batches:
             out = []
             ends = batch["spans"].offsets.to_numpy()
-            span, there = (batch["spans"].values.field(k).to_numpy() for k in range(2))
+            place, span, place_there, there = (batch["spans"].values.field(k).to_numpy() for k in range(4))
             for i, (doc, first, text, first_text) in enumerate(zip(*(batch[c] for c in ("doc", "first", "doc_text", "first_text")), strict=True)):
-                text, first = text.as_py(), first.as_py()
+                text, first, doc = text.as_py(), first.as_py(), doc.as_py()
                 if first != kept:  # rows of one first document follow each other
                     other = first_text.as_py()
                     kept, y = first, hasher.shingles(other)
-                x = hasher.shingles(text)
-                got = aligned(x, y, _ends(span[ends[i] : ends[i + 1]], there[ends[i] : ends[i + 1]]), least, share)
+                x, some = hasher.shingles(text), slice(ends[i], ends[i + 1])
+                got = aligned(x, y, _ends(span[some], there[some]), least, share, (place_there[some].astype(np.int64) - place[some]).tolist())
+                lost = np.unique(place[some])
+                for a, b, _, _ in got:
+                    lost = lost[(lost < a) | (lost > b)]
                 if got:
                     (at, to), (at_there, to_there) = word_ends(text), word_ends(other)
                     out += [
-                        (doc.as_py(), first, int(at[a]), int(to[b + SHINGLE - 1]), int(at_there[c]), int(to_there[d + SHINGLE - 1]))
+                        (doc, first, int(at[a]), int(to[b + SHINGLE - 1]), int(at_there[c]), int(to_there[d + SHINGLE - 1]), a, b, None)
                         for a, b, c, d in got
                     ]
+                if lost.size:
+                    out.append((doc, first, None, None, None, None, None, None, lost.tolist()))
             if out:
-                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "first", "begin", "end", "first_begin", "first_end"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     cols = pairs.select("doc", "first", "spans", "doc_text", "first_text")
-    return cols.mapInArrow(run, "doc long, first long, begin int, end int, first_begin int, first_end int")
+    return cols.mapInArrow(run, "doc long, first long, begin int, end int, first_begin int, first_end int, at int, to int, lost array<int>")
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -490,11 +665,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A passage stays where it is first, and clean documents stay as they are. ``chars_col``, if given and
     present, gets the new length of texts that change. A document of which nothing but white space is left
-    stays with that text.
+    stays with that text. Rows are cut by id and text, so that rows that share an id alone are cut each by itself.
     """
     found = passages(docs, id_col, text_col, **how).where("NOT is_first")
-    spans = checkpointed(found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id"))
-    both = docs.join(small_or_shuffled(spans), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
+    # spans of a document are no more than its words
+    spans = checkpointed(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("begin", "end")).alias("__spans")))
+    here = (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    both = docs.join(spans, here, "left").drop("__id", "__hash")
     at = both.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
