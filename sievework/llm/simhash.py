@@ -66,20 +66,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return by_batch(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
-def sliced_links(fp: np.ndarray, block: np.ndarray, radius: int = MOST_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``a``, ``b`` that join, in each block, all fingerprints linked by at most ``radius`` bits.
-
-    ``block`` is sorted. Links are reduced to a spanning forest chunk by chunk, so memory stays
-    within a constant of the rows and of one chunk. ``radius`` is at most 2.
-    """
-    if not 0 <= radius <= MOST_RADIUS:
-        raise ValueError(f"radius is from 0 to {MOST_RADIUS}")
+def _sliced(fp: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bit planes, in which a word holds one bit of 64 fingerprints of a block, and the lanes that are filled;
+    the first word of each block, the block of each row and the first row of each block."""
     n = fp.size
-    first = np.r_[True, block[1:] != block[:-1]] if n else np.zeros(0, bool)
-    start = np.flatnonzero(first)
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[start, n])
-    per_block = (sizes + 63) // 64
-    base = np.r_[0, np.cumsum(per_block)]
+    base = np.r_[0, np.cumsum((sizes + 63) // 64)]
     of = np.repeat(np.arange(start.size), sizes)
     place = np.arange(n) - start[of]
     word, lane = base[of] + place // 64, (place % 64).astype(np.uint64)
@@ -88,6 +81,20 @@ def sliced_links(fp: np.ndarray, block: np.ndarray, radius: int = MOST_RADIUS) -
     np.bitwise_or.at(filled, word, np.uint64(1) << lane)
     for bit in range(64):
         np.bitwise_or.at(planes[bit], word, ((fp >> np.uint64(bit)) & np.uint64(1)) << lane)
+    return planes, filled, base, of, start
+
+
+def sliced_links(fp: np.ndarray, block: np.ndarray, radius: int = MOST_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a``, ``b`` that join, in each block, all fingerprints linked by at most ``radius`` bits.
+
+    ``block`` is sorted. Links are reduced to a spanning forest chunk by chunk, so memory stays
+    within a constant of the rows and of one chunk. ``radius`` is at most 2.
+    """
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"radius is from 0 to {MOST_RADIUS}")
+    n = fp.size
+    planes, filled, base, of, start = _sliced(fp, block)
+    word = base[of] + (np.arange(n) - start[of]) // 64
     # a row meets the words of its block from its own on
     count = base[of + 1] - word
     ends = np.cumsum(count)
@@ -192,14 +199,242 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of each group of near-duplicates.
+#: Of the pipeline's stage: words in a shingle, similarity of sets of shingles, and differing bits that candidates have at most.
+SHINGLE, SHARE, REACH = 5, 0.8, 20
+#: Functions whose least hashes, two by two, are the blocks that texts are compared in.
+MINIMA = 6
+#: Blocks of more texts are dealt to parts.
+PART = 2_048
+
+
+def similar_links(texts: DataFrame, share: float = SHARE, shingle: int = SHINGLE, radius: int = REACH, part: int = PART) -> DataFrame:
+    """``a``, ``b``: links that join all texts (``node``, unique; ``text``) whose sets of shingles resemble by ``share``.
+
+    Texts with two least shingles of MINIMA functions in common share a block, which two texts that resemble by 0.8
+    fail to with a chance of 0.0016. In a block, fingerprints are compared bit-sliced, and those within ``radius``
+    bits are candidates; sets that resemble by 0.8 differ in 10 bits of 64 on average, and in over 20 once in
+    thousands. A candidate is a link only if the sets of shingles, compared in full, resemble. Rounds go on until no
+    block holds candidates in different components that have not been compared: in the first round each text proposes,
+    of those in lower components, the smallest, so that a group of copies needs as many comparisons as it has texts,
+    not pairs; in each further round those that are left propose four times as many, of as many components. Texts
+    without words have no links.
+    """
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps, keys, nodes = [], [], []
+        for node, t in zip(batch["node"].to_pylist(), batch["text"], strict=True):
+            h = _set_of(t.as_py(), shingle)
+            if h.size:
+                nodes.append(node)
+                bits = np.unpackbits(_spread(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+                fps.append(np.packbits(2 * bits > h.size, bitorder="little").view(np.int64)[0])
+                least = [int(_spread(h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min()) for k in range(1, MINIMA + 1)]
+                keys.append([xxhash.xxh3_64_intdigest(f"{i} {j} {least[i]} {least[j]}") - (1 << 63) for i, j in combinations(range(MINIMA), 2)])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+
+    made = checkpointed(by_batch(texts.select("node", "text"), make, "node long, fp long, keys array<long>"))
+    rows = made.select("node", "fp", F.explode("keys").alias("key"))
+    shared = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = checkpointed(rows.join(shared.select("key"), "key"))
+    nodes = rows.select("node").distinct()
+    links = refuted = None
+    # blocks that are dealt to parts are compared across them once nothing is left inside
+    of, split, whole, most = nodes.withColumn("component", F.col("node")), not shared.where(F.col("n") > part).isEmpty(), False, 1
+    while True:
+        proposed = checkpointed(_proposals(rows.join(of, "node"), refuted, radius, whole, part, most))
+        if proposed.isEmpty():
+            if whole or not split:
+                break
+            whole = True
+            continue
+        checked = checkpointed(_compared(texts, proposed, share, shingle))
+        good, bad = checked.where("similar").select("a", "b"), checked.where("NOT similar").select("a", "b")
+        refuted = bad if refuted is None else checkpointed(refuted.unionByName(bad))
+        # the few texts that are left have more candidates looked at, so that rounds are few
+        most *= 4
+        if good.isEmpty():
+            continue
+        links = good if links is None else checkpointed(links.unionByName(good))
+        joined = components(links).select("node", F.col("component").alias("c"))
+        of = checkpointed(nodes.join(joined, "node", "left").select("node", F.coalesce("c", "node").alias("component")))
+    return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)) if links is None else links
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _set_of(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text; the whole sequence where it has fewer words."""
+    w = split_words(text)
+    if not w:
+        return np.zeros(0, np.uint64)
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))[at]
+    size = min(shingle, len(w))
+    h = np.zeros(len(w) - size + 1, np.uint64)
+    for k in range(size):
+        h = _spread(h + word[k : k + h.size])
+    return np.unique(h)
+
+
+def _proposals(rows: DataFrame, refuted: DataFrame | None, radius: int, whole: bool, part: int, most: int) -> DataFrame:
+    """``a``, ``b``: of every text at most ``most`` candidates that were not refuted, the smallest of lower components.
+
+    Blocks of more than ``part`` texts are dealt to parts. Texts of a part are compared; if ``whole``, those outside
+    the block's largest component go to all parts, so that any two of different components meet.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.sum("n").alias("texts"), F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component"))["component"].alias("largest")
+    )
+    # blocks of one component have nothing left to compare
+    sizes = checkpointed(sizes.where("components > 1").select("key", "largest", F.ceil(F.col("texts") / part).cast("long").alias("parts")))
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    to = F.when(F.lit(whole) & (F.col("parts") > 1) & (F.col("component") != F.col("largest")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
+    rows = rows.join(small_or_shuffled(sizes), "key").select("key", "node", "fp", "component", F.explode(to).alias("part"))
+    if refuted is not None:
+        rows = rows.join(refuted.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("not")), "node", "left")
+    else:
+        rows = rows.withColumn("not", F.lit(None).cast("array<long>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in runs_of(batches, ["key", "part"]):
+            node, fp, component = (some[c].to_numpy() for c in ("node", "fp", "component"))
+            block = np.cumsum(starts_of(some, ["key", "part"])) - 1
+            no = some["not"].combine_chunks()
+            no = {i: no[i].as_py() for i in np.flatnonzero(no.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+            a, b = first_near(fp.view(np.uint64), block, node, component, no, radius, most)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    near = rows.repartition("key", "part").sortWithinPartitions("key", "part", "component", "node").mapInArrow(run, "a long, b long")
+    return near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, most).alias("bs")).select("a", F.explode("bs").alias("b"))
+
+
+def first_near(fp: np.ndarray, block: np.ndarray, node: np.ndarray, component: np.ndarray, refuted: dict[int, list[int]], radius: int, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a`` and, for each, the first rows ``b`` within ``radius`` bits of at most ``most`` lower components of its block.
+
+    ``block`` is sorted and, inside it, ``component``. A row meets the words of 64 rows of its block from the first
+    on, until it has found as many. ``refuted`` names, by row, nodes that it may not propose.
+    """
+    n = fp.size
+    planes, filled, base, of, start = _sliced(fp, block)
+    # rows of lower components are those before the component's first
+    own = np.r_[True, (block[1:] != block[:-1]) | (component[1:] != component[:-1])][:n]
+    end = np.flatnonzero(own)[np.cumsum(own) - 1] if n else np.zeros(0, np.int64)
+    found, latest, step = np.zeros(n, np.int64), np.full(n, -1), 0
+    live = np.flatnonzero(end > start[of]) if n else np.zeros(0, np.int64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while live.size:
+        for lo in range(0, live.size, _AT_ONCE):
+            some = live[lo : lo + _AT_ONCE]
+            at = base[of[some]] + step
+            near = _within(planes, fp[some], at, radius) & filled[at]
+            lanes = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            r, j = np.nonzero(lanes)
+            row = some[r]
+            other = start[of[row]] + step * 64 + j
+            ok = other < end[row]
+            if refuted:
+                ok &= np.array([r not in refuted or node[o] not in refuted[r] for r, o in zip(row.tolist(), other.tolist(), strict=True)], bool)
+            row, other = row[ok], other[ok]
+            # the first of each component, which is not the last one that was found
+            new = np.r_[True, (row[1:] != row[:-1]) | (component[other[1:]] != component[other[:-1]])][: row.size]
+            new &= component[other] != latest[row]
+            row, other = row[new], other[new]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: row.size])
+            rank = np.arange(row.size) - np.repeat(first, np.diff(np.r_[first, row.size])) + found[row]
+            row, other = row[rank < most], other[rank < most]
+            np.add.at(found, row, 1)
+            latest[row] = component[other]
+            a.append(row)
+            b.append(other)
+        step += 1
+        live = live[(found[live] < most) & (start[of[live]] + step * 64 < end[live])]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _within(planes: np.ndarray, fp: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint and word ``at`` of 64 others, the lanes that differ in at most ``radius`` bits.
 
-    Rows that repeat a kept id are one group with it, so one of them stays; rows with a null id stay
-    only where no row of their group has an id.
+    Counters begin so high that they overflow beyond the radius; words all of whose lanes have are abandoned.
     """
-    named = checkpointed(near_duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("__id"), "component_id"))
-    gone = checkpointed(named.where("NOT (__id <=> component_id)").select("__id").distinct())
-    kept = docs.join(small_or_shuffled(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = named.where("__id IS NOT NULL AND __id = component_id").groupBy("__id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    width = radius.bit_length()
+    begin, out, rows = (1 << width) - 1 - radius, np.zeros(fp.size, np.uint64), np.arange(fp.size)
+    counters = [np.full(fp.size, _BELOW if begin >> i & 1 else 0, np.uint64) for i in range(width)]
+    over = np.zeros(fp.size, np.uint64)
+    for bit in range(64):
+        carry = planes[bit, at] ^ (np.uint64(0) - ((fp >> np.uint64(bit)) & np.uint64(1)))
+        for i in range(width):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over |= carry
+        if bit % 8 == 7 and bit > radius:
+            live = over != _BELOW
+            if not live.all():
+                rows, fp, at, over, *counters = (x[live] for x in (rows, fp, at, over, *counters))
+    out[rows] = ~over
+    return out
+
+
+def _compared(texts: DataFrame, pairs: DataFrame, share: float, shingle: int) -> DataFrame:
+    """``a``, ``b``, ``similar`` of ``pairs``, whose sets of shingles are compared in full."""
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text")).join(small_or_shuffled(checkpointed(pairs.select(name).distinct())), name, "left_semi")
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, y = None, None
+        for batch in batches:
+            out = []
+            for b, one, two in zip(batch["b"].to_pylist(), batch["a_text"], batch["b_text"], strict=True):
+                if b != kept:  # rows of one smaller text follow each other
+                    kept, y = b, _set_of(two.as_py(), shingle)
+                x = _set_of(one.as_py(), shingle)
+                common = np.intersect1d(x, y, assume_unique=True).size
+                out.append(common >= share * (x.size + y.size - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, similar boolean")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, shingle: int = SHINGLE, radius: int = REACH) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of near-duplicates.
+
+    Texts are near-duplicates if their sets of shingles (words in lower case) resemble by ``share``, and a group is
+    what links join (:func:`similar_links`). Of a group the row with the smallest id stays, of several with that id
+    the one with the least text hash, and of rows that repeat id and text one. Rows without an id stay only where no
+    row of their group has one, and then one of them. Texts without words, null ones too, are one group. Rows that
+    share an id but no group are told apart by their texts.
+    """
+    blank = F.lit(r"[^\x20\x09-\x0D]")
+    rows = need(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).select("id", "text", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+    each = checkpointed(rows.groupBy("id", "x", "y").agg(F.count(F.lit(1)).alias("rows"), F.max(F.regexp_like("text", blank)).alias("words")))
+    # a number for each text; copies are never compared
+    node = checkpointed(each.groupBy("x", "y").agg(F.min("id").alias("least"), F.max("words").alias("words")).withColumn("node", F.monotonically_increasing_id()))
+    one = checkpointed(each.join(node.where("words").select("x", "y", "node", "least"), ["x", "y"]).where("id <=> least").select("id", "x", "y", "node", "rows"))
+
+    def chosen(some: DataFrame) -> DataFrame:
+        some = small_or_shuffled(some.select(F.col("id").alias("i"), F.col("x").alias("p"), F.col("y").alias("q"), "node"))
+        return rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("p")) & (F.col("y") == F.col("q"))).select("node", "text")
+
+    texts, twice = chosen(one.where("rows = 1")), one.where("rows > 1")
+    if not twice.isEmpty():
+        texts = texts.unionByName(chosen(twice).dropDuplicates(["node"]))
+    joined = components(similar_links(texts, share, shingle, radius)).select("node", "component")
+    group = node.join(joined, "node", "left").select("x", "y", F.when(F.col("words"), F.coalesce("component", "node")).otherwise(F.lit(-1)).alias("group"))
+    ranked = each.join(group, ["x", "y"]).select("group", "rows", F.struct(F.col("id").isNull().alias("none"), "id", "x", "y").alias("row"))
+    best = ranked.groupBy("group").agg(F.min("row").alias("best"))
+    # the winners of groups of several are told from the others by rank, not by a join on ids that may be null
+    split = checkpointed(ranked.join(best, "group").select("rows", F.expr("row <=> best").alias("stays"), F.col("row.id").alias("__id"), F.col("row.x").alias("__x"), F.col("row.y").alias("__y")))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__x")) & (F.xxhash64(F.lit(1), text) == F.col("__y"))
+    kept = docs.join(small_or_shuffled(split.where("NOT stays")), here, "left_anti")
+    again = checkpointed(split.where("stays AND rows > 1"))
+    if again.isEmpty():
+        return kept
+    again = small_or_shuffled(again)
+    repeated = kept.join(again, here, "left_semi").withColumn("__text", text).dropDuplicates([id_col, "__text"]).drop("__text")
+    return kept.join(again, here, "left_anti").unionByName(repeated)
