@@ -45,20 +45,25 @@ def sketches(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) ->
     return q.withColumn("least", least).select("item_id", "width", "shingles", "need", "least")
 
 
-def leaks(
+def leaks(docs: DataFrame, items: DataFrame, *args: object, **how: object) -> DataFrame:
+    """:func:`found` without the hash that tells apart documents that share an id."""
+    return found(docs, items, *args, **how).drop("text_hash")
+
+
+def found(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", shingle: int = SHINGLE, share: float = SHARE,
 ) -> DataFrame:
-    """``doc_id``, ``item_id``, ``n_shingles``, ``n_found``, ``containment`` where at least ``share`` is found.
+    """``doc_id``, ``item_id``, ``n_shingles``, ``n_found``, ``containment``, ``text_hash`` where at least ``share`` is found.
 
-    Words are runs of other characters than ASCII white space, in lower case; whole texts are searched.
+    ``text_hash`` (XXH64 of the text) comes with each row. Words are runs of other characters than ASCII white space, in lower case; whole texts are searched.
     Null and blank texts hold nothing. Rows of documents that repeat id and text give one row for each
     item. Rows of items that repeat an id are items of their own. A null id is returned as it is.
     """
     rows = need(docs, doc_id=id_col, text=text_col)
-    found = checkpointed(sketches(need(items, item_id=item_col, text=item_text_col), shingle, share).withColumn("item", F.monotonically_increasing_id()))
-    widths = [r.width for r in found.select("width").distinct().collect()]  # at most ``shingle`` numbers
-    keys = found.select("item", "width", "need", F.explode("least").alias("h"))
+    sketched = checkpointed(sketches(need(items, item_id=item_col, text=item_text_col), shingle, share).withColumn("item", F.monotonically_increasing_id()))
+    widths = [r.width for r in sketched.select("width").distinct().collect()]  # at most ``shingle`` numbers
+    keys = sketched.select("item", "width", "need", F.explode("least").alias("h"))
     # two longs and two numbers a row
     keys = small_or_shuffled(checkpointed(keys))
     w = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.lower("text")).alias("w"))
@@ -77,22 +82,23 @@ def leaks(
     texts = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
         left, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))
     ).select("doc_id", "text_hash", "item", words(F.lower("text")).alias("w"))
-    checked = texts.join(found.drop("least"), "item").select(
+    checked = texts.join(sketched.drop("least"), "item").select(
         "doc_id", "text_hash", "item", "item_id", "need", F.size("shingles").alias("n_shingles"),
         F.size(F.array_intersect("shingles", _shingles(F.col("w"), F.col("width")))).alias("n_found"),
     ).distinct()
     return checked.where("n_found >= need").select(
-        "doc_id", "item_id", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment")
+        "doc_id", "item_id", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"), "text_hash"
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found.
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose own text no item is found.
 
-    A row with a null id stays unless an item is found in a row with a null id.
+    A row is told by id and text, so that others with its id, or without an id, stay. Null texts stay.
     """
-    bad = checkpointed(leaks(docs, items, id_col, **how).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(small_or_shuffled(bad), F.col(f"`{id_col}`").eqNullSafe(F.col("__leaked")), "left_anti")
+    bad = found(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias("__leaked"), F.col("text_hash").alias("__hash")).distinct()
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col("__leaked")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    return docs.join(small_or_shuffled(checkpointed(bad)), here, "left_anti")
 
 
 ORACLE_SQL = r"""
