@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -17,10 +18,33 @@ def pending(spark: SparkSession, path: str, schema: str, most: int = 100) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most).option("latestFirst", "false").json(path)
 
 
-def split_poison(rows: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows to work on, and rows for quarantine."""
-    mark = F.coalesce(bad, F.lit(False))
-    return rows.where(~mark), rows.where(mark)
+def archived(spark: SparkSession, path: str, schema: str, archive: str, most: int = 100) -> DataFrame:
+    """As :func:`pending`; files that a finished batch has read move to ``archive``, outside ``path``, under their own path."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", most).option("cleanSource", "archive").option("sourceArchiveDir", archive).json(path)
+    )
+
+
+def quarantined(spark: SparkSession, path: str, schema: str, target: str, poison: str, checkpoint: str, required: list[str] | None = None) -> StreamingQuery:
+    """Work off the lines that are there: good records go to ``target``, others with file and ``error`` to ``poison``.
+
+    A line that is no JSON of the schema, or lacks a ``required`` field, is poison. A batch that is run again after a
+    loss writes the same folder of each side again, so no line is in the result twice.
+    """
+    lines = spark.readStream.text(path).where("trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    )
+    missing = F.lit(False)
+    for f in required or []:
+        missing = missing | F.col(f"r.{f}").isNull()
+    error = F.when(F.col("r._corrupt_record").isNotNull(), "no record").when(missing, "missing field")
+
+    def write(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumn("error", error)
+        marked.where("error IS NULL").select("r.*").drop("_corrupt_record").write.mode("overwrite").json(f"{target}/batch={number}")
+        marked.where("error IS NOT NULL").select("file", "value", "error").write.mode("overwrite").json(f"{poison}/batch={number}")
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_available(rows: DataFrame, target: str, checkpoint: str, form: str = "parquet", mode: str = "append") -> StreamingQuery:
@@ -57,14 +81,45 @@ def stale(claims: DataFrame, claimed_at: Column, now: Column, seconds: float) ->
     return claims.where(now.cast("timestamp").cast("double") - claimed_at.cast("timestamp").cast("double") >= seconds)
 
 
+def reparked(tasks: DataFrame, state: str, claimed_at: str, now: Column, seconds: float) -> DataFrame:
+    """``tasks`` with claims that are at least so old pending again, without a time of claim; others as they were."""
+    old = (F.col(state) == "claimed") & F.coalesce(now.cast("timestamp").cast("double") - F.col(claimed_at).cast("timestamp").cast("double") >= seconds, F.lit(False))
+    return tasks.withColumns({state: F.when(old, F.lit("pending")).otherwise(F.col(state)), claimed_at: F.when(~old, F.col(claimed_at))})
+
+
 def depth(tasks: DataFrame, state: str) -> DataFrame:
     """How many tasks are in each state."""
     return tasks.groupBy(state).agg(F.count(F.lit(1)).alias("n"))
 
 
-def unprefixed(name: Column) -> Column:
-    """A claimed file's own name: what a worker put before the first underscore removed."""
-    return F.regexp_replace(name, r"^[^_]*_", "")
+def progress(tasks: DataFrame, queue: str, state: str, done_at: str, now: Column, window: float = 3600.0) -> DataFrame:
+    """For every queue: tasks by state, share done, those done in the last ``window`` seconds and, at that rate, the
+    seconds that the others take; null without any done lately."""
+    lately = (F.col(state) == "done") & (now.cast("timestamp").cast("double") - F.col(done_at).cast("timestamp").cast("double") < window)
+    n = tasks.groupBy(queue).agg(*[F.count_if(F.col(state) == s).alias(s) for s in ("pending", "claimed", "done")], F.count_if(lately).alias("lately"), F.count(F.lit(1)).alias("n"))
+    return n.select(queue, "pending", "claimed", "done", (F.col("done") / F.col("n")).alias("share_done"), "lately", F.try_divide((F.col("pending") + F.col("claimed")) * F.lit(window), F.col("lately")).alias("seconds_left"))
+
+
+def with_retries(call: Callable[[Any], Any], tries: int, wait: Callable[[int], float], keys: list[str] | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[Any], Any]:
+    """A call that is tried again after a failure, ``wait(k)`` seconds after the k-th, with the next of ``keys`` in turn.
+
+    The call takes the request and, if there are keys, ``key``. The last failure is raised.
+    """
+    def run(request: Any) -> Any:
+        for k in range(tries):
+            try:
+                return call(request, key=keys[k % len(keys)]) if keys else call(request)
+            except Exception:
+                if k + 1 == tries:
+                    raise
+                sleep(wait(k + 1))
+        raise ValueError("tries is at least 1")
+
+    return run
+
+
+# How long is waited after the k-th failure.
+WAITS: dict[str, Callable[[int], float]] = {"judge": lambda k: min(1.01**k, 60.0), "grader": lambda k: 1.5**k, "claims": lambda k: 2.0**k * 2.0}
 
 
 def windowed(events: DataFrame, time: str, key: str, value: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
