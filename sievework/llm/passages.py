@@ -3,13 +3,15 @@
 A document is the string of its five-word shingles. Under a hash function, the Cartesian tree of the
 string's hashes groups all stretches of at least a given length by their least shingle: a node is a compact
 window (left, least, right), and each stretch within it that covers the least place has that shingle as its
-min-hash. Near duplicates have windows with one value in both documents under a function with a chance equal
-to their resemblance; several functions make a miss unlikely. Windows meet by that value and the shingles
-beside it. Windows that meet are linked to that of the smallest document; the links of two documents are
-joined as intervals over all functions, and in each joined interval the longest stretches that resemble are
-found word by word. A window whose link leads to no such stretch may still resemble another one of its group:
-those carry the shingles around their least place, and each is compared with all of its group that share rare
-shingles with it, until one is found or none is left.
+min-hash. Two passages of 50 words that resemble by 0.8 have one edit in 50 words, so half of what they share, 20
+shingles, is a run that is equal in both. The middle 14 of a run have one min-hash in both documents, with three equal
+shingles on either side of it: windows of stretches of 14 that are keyed by those seven shingles meet whatever the
+function, and one function is enough. (Windows of whole passages meet with a chance equal to their resemblance, and
+need many functions.) Windows that meet are linked to that of the smallest document; the links of two documents are
+joined as intervals, and in each joined interval the longest stretches that resemble are found word by word. A window
+whose link leads to no such stretch may still resemble another one of its group: those carry the shingles around their
+least place, and each is compared with all of its group that share rare shingles with it, until one is found or none
+is left.
 """
 
 from __future__ import annotations
@@ -26,10 +28,8 @@ from pyspark.sql import functions as F
 from sievework.llm.common import checkpointed, need, runs_of, small_or_shuffled, starts_of
 
 SHINGLE, SHARE = 5, 0.8
-#: Words in the shortest passage, and hash functions.
-LEAST, HASHES = 50, 4
-#: Shingles on either side of the least one that are in a window's key.
-BESIDE = 1
+#: Words in the shortest passage, and hash functions; shingles on either side of the least one that are in a window's key.
+LEAST, HASHES, BESIDE = 50, 1, 3
 #: Shingles on either side of a window's least place that windows are compared by, as 16 bits each; 0 is beyond the text.
 REACH = 49
 #: Pairs of windows that are compared at a time.
@@ -122,14 +122,16 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
+def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, share: float = SHARE) -> DataFrame:
     """``key``, ``doc``, ``place``, ``span`` of the compact windows of ``docs`` (``doc``, ``text``).
 
     A key stands for the function, the least shingle, which is at ``place``, and the shingles beside it. A span
-    has the left end in its upper half and the right end in its lower half. Windows of one key that follow each
-    other in a run of repeated words are one.
+    has the left end in its upper half and the right end in its lower half; it reaches REACH places from the least
+    one, as a passage may begin and end beyond its runs. Windows of one key that follow each other in a run of repeated
+    words are one. Documents of fewer words than a passage have no windows.
     """
     long = least - SHINGLE + 1
+    stretch = max(1, _run(long, share) - 2 * BESIDE)
     seeds = _mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _ODD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,23 +153,25 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
         """The rows of some documents, one function at a time; places are counted through all of them."""
         sizes, h = np.array([x.size for x in strings]), np.concatenate(strings)
         begins = np.cumsum(sizes) - sizes
+        # there are no shingles beside a document's ends, whatever documents are read with it
         around = h.copy()
         for k in range(1, BESIDE + 1):
             before, after = np.roll(h, k), np.roll(h, -k)
-            for lo, n in zip(begins.tolist(), sizes.tolist(), strict=True):
-                before[lo : lo + k], after[lo + n - k : lo + n] = 0, 0
-            around = _mixed(around + before * _FACTORS[k] + after * _FACTORS[32 + k])
+            for j in range(k):
+                before[begins + j], after[begins + sizes - 1 - j] = 0, 0
+            around += before * _FACTORS[k] + after * _FACTORS[32 + k]
         for k in range(hashes):
             mixed = _mixed(h ^ seeds[k])
-            found = [compact_windows(mixed[b : b + n], long) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+            found = [compact_windows(mixed[b : b + n], stretch) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
             of = np.repeat(np.arange(sizes.size), [len(f) for f in found])
             left, place, right = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 3 * of.size).reshape(-1, 3).T
-            key = _mixed(around[place + begins[of]] + np.uint64(k + 1) * _ODD).view(np.int64)
-            by = np.lexsort((left, right, key, of))
-            same = (np.diff(key[by]) == 0) & (np.diff(right[by]) == 0) & (np.diff(of[by]) == 0)
-            by = by[np.r_[True, ~same]] if by.size else by
-            span, doc = (left[by] << 32) + right[by], np.array(ids, np.int64)[of[by]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[by], doc, place[by].astype(np.int32), span)], names=["key", "doc", "place", "span"])
+            key = _mixed(around[place + begins[of]] + seeds[k]).view(np.int64)
+            # windows of a run of one value follow each other and have one right end
+            new = np.ones(of.size, bool)
+            new[1:] = (key[1:] != key[:-1]) | (right[1:] != right[:-1]) | (of[1:] != of[:-1])
+            left, place, right, of, key = (v[new] for v in (left, place, right, of, key))
+            span = (np.maximum(np.minimum(left, place - REACH), 0) << 32) + np.minimum(np.maximum(right, place + REACH), sizes[of] - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, np.array(ids, np.int64)[of], place.astype(np.int32), span)], names=["key", "doc", "place", "span"])
 
     return docs.select("doc", "text").mapInArrow(run, "key long, doc long, place int, span long")
 
@@ -207,13 +211,20 @@ def _common(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[np.ndarray, np.n
     """The places of ``x`` whose shingle ``y`` has, and the places there: of several, that nearest to ``offset`` away."""
     order = np.argsort(y, kind="stable")
     values = y[order]
-    lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-    part = np.flatnonzero(hi > lo)
-    first, many = lo[part], hi[part] - lo[part]
-    there = order[first]
-    for i in np.flatnonzero(many > 1).tolist():
-        spots = order[first[i] : first[i] + many[i]]
-        there[i] = spots[np.abs(spots - part[i] - offset).argmin()]
+    lo = np.searchsorted(values, x, "left")
+    part = np.flatnonzero(values[np.minimum(lo, values.size - 1)] == x) if values.size else np.zeros(0, np.int64)
+    # places there in order of shingle, then place: the wanted place is looked for inside its shingle's part
+    first = lo[part]
+    group = np.cumsum(np.r_[True, values[1:] != values[:-1]]) - 1 if values.size else first
+    wide = 2 * (x.size + y.size) + 2
+    code = group * wide + order
+    aim = np.clip(part + offset, 0, y.size - 1)
+    at = np.searchsorted(code, group[first] * wide + aim, "left")
+    after = np.minimum(at, y.size - 1)
+    after = np.where(group[after] == group[first], after, np.maximum(at - 1, 0))
+    before = np.maximum(at - 1, 0)
+    before = np.where(group[before] == group[first], before, after)
+    there = np.where(np.abs(order[before] - aim) <= np.abs(order[after] - aim), order[before], order[after])
     return part, there
 
 
@@ -298,7 +309,7 @@ def passages(
     """
     ids = _identified(docs, id_col, text_col)
     distinct, copies = _distinct_texts(docs, ids, id_col, text_col)
-    met = checkpointed(_met(distinct, least, hashes))
+    met = checkpointed(_met(distinct, least, hashes, share))
     found = checkpointed(_verified(distinct, _marks(met), least, share))
     again = _others(distinct, met, found, least, share)
     if again is not None:
@@ -361,15 +372,15 @@ _WINDOW = "key long, salt long, doc long, place int, span long"
 _LINK = f"{_WINDOW}, first long, first_place int, first_span long"
 
 
-def _met(docs: DataFrame, least: int, hashes: int) -> DataFrame:
+def _met(docs: DataFrame, least: int, hashes: int, share: float) -> DataFrame:
     """Windows linked to that of the smallest document in their group: the columns of _LINK.
 
     Windows are shuffled once. A key that the sampled documents have often is dealt to parts; the parts' first
     windows are then linked to the first of all, so that a chain joins every window. A task holds one batch.
     """
-    counted = windows(docs.where(_sampled()), least, hashes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    counted = windows(docs.where(_sampled()), least, hashes, share).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     often = checkpointed(counted.select("key", F.ceil(F.col("n") * SAMPLE / PART).cast("long").alias("parts")).where("parts > 1"))
-    salted = windows(docs, least, hashes).join(small_or_shuffled(often), "key", "left").select(
+    salted = windows(docs, least, hashes, share).join(small_or_shuffled(often), "key", "left").select(
         "key", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc", F.lit("salt")), F.col("parts"))).otherwise(F.lit(0)).alias("salt"), "doc", "place", "span"
     )
 
@@ -493,7 +504,7 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
     key, salt, doc, place_of, span = (rows[c].to_numpy() for c in ("key", "salt", "doc", "place", "span"))
     seeks, n, width = rows["seeks"].to_numpy(), rows.num_rows, 2 * REACH + 1
     near = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint16).reshape(n, width)
-    run = np.cumsum(starts_of(rows, ["key", "salt"])) - 1
+    run, run_least = np.cumsum(starts_of(rows, ["key", "salt"])) - 1, _run(long, share)
     fresh, enough = _distinct(near, long, share)
     size = fresh.sum(1)
     of = np.repeat(np.arange(n), size)
@@ -534,6 +545,10 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
             equal = before + np.logical_and.accumulate(same[:, REACH:], axis=1).sum(1) - 1 >= long
             out.append(np.stack([i[equal], j[equal]]))
             open_[i[equal]] = False
+            # two passages of 50 words that resemble have a run of shingles in common (_run); windows that have
+            # it around their least place are told by equal places, and others have windows of their own there
+            long_run = same.sum(1) >= run_least
+            i, j, x, y, same = i[long_run], j[long_run], x[long_run], y[long_run], same[long_run]
             sure = np.flatnonzero(open_[i])
             sure = sure[_edited(same[sure], fresh[i[sure]] & fresh[j[sure]], long, share)]
             out.append(np.stack([i[sure], j[sure]]))
@@ -558,6 +573,12 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
     )
 
 
+def _run(long: int, share: float) -> int:
+    """The length of the longest run that two passages of ``long`` shingles have in common at least, if one edit parts them:
+    half of the shingles that both have, of which there are 2 share / (1 + share) of all."""
+    return int(long * share / (1 + share))
+
+
 def _distinct(near: np.ndarray, long: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """The places where a shingle is the first of its kind in a row; how many a passage over the least place shares."""
     n, width = near.shape
