@@ -118,25 +118,45 @@ def train(good: np.ndarray, open_: np.ndarray, prior: float, steps: int = 3000,
     return Model(mean, scale, kept[0], kept[1], kept[2], float(kept[3][0]), prior)
 
 
+def estimated_prior(good: np.ndarray, open_: np.ndarray, least: float = 0.2) -> float:
+    """The share of good rows among unlabelled ones, from trusted good rows alone.
+
+    A scorer that tells both apart is trained on half of the rows. Where of the other half's good rows a share p
+    scores higher than a threshold, at least p times the prior of the unlabelled rows do, as they hold good ones. So no
+    threshold's quotient of both shares is lower than the prior, and the least one is near it where few bad rows score
+    high. Thresholds above which a share ``least`` of good rows is are looked at, as quotients of few rows are chance;
+    each is raised by two standard errors before the least is taken, and that one counts without them.
+    """
+    if len(good) < 20 or len(open_) < 20:
+        return 0.5
+    scorer = train(good[::2], open_[::2], 0.5, steps=1000)
+    p, u = np.sort(scorer.scores(good[1::2])), np.sort(scorer.scores(open_[1::2]))
+    cuts = np.quantile(p, np.linspace(0, 1 - least, 101))
+    above = 1 - np.searchsorted(p, cuts, "left") / p.size
+    shares = 1 - np.searchsorted(u, cuts, "left") / u.size
+    error = 2 * np.sqrt(np.maximum(shares * (1 - shares), 1 / u.size) / u.size) / above + 2 * shares * np.sqrt(np.maximum(above * (1 - above), 1 / p.size) / p.size) / above**2
+    best = int((shares / above + error).argmin())
+    return float(np.clip(shares[best] / above[best], 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str = "quality", most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> Model:
     """A model from trusted positives and unlabelled rows.
 
-    The sample is bounded by ``most_docs`` and ``most_chars`` for each of the two. The class prior is
-    estimated as the share of label 1 among labels that may be learned from; the other labels are used
-    for nothing else. Unlabelled rows are those whose id has no label, by the hash of their ids; where
+    The sample is bounded by ``most_docs`` and ``most_chars`` for each of the two. The class prior is that of the
+    unlabelled rows (:func:`estimated_prior`); labels of 0 are used for nothing. Unlabelled rows are those whose id has no label, by the hash of their ids; where
     all have one, the rows that may not be learned from are taken as text, without their labels.
     """
     texts, y = training_rows(docs, labels, trusted, label_col, most_docs, most_chars)
-    prior = float(y.mean()) if y.size else 0.5
     rows = need(docs, doc_id="doc_id", text="text").where("doc_id IS NOT NULL")
     learned = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     marked = rows.select("doc_id").join(learned, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("label"))
     other, _ = training_rows(docs, marked, F.lit(True), "label", most_docs, most_chars)
     if not other:
         other, _ = training_rows(docs, labels, ~trusted, label_col, most_docs, most_chars)
-    good = [features(t) for t, v in zip(texts, y.tolist(), strict=True) if v == 1]
     empty = np.zeros((0, features("").size))
-    return train(np.array(good) if good else empty, np.array([features(t) for t in other]) if other else empty, prior)
+    good = [features(t) for t, v in zip(texts, y.tolist(), strict=True) if v == 1]
+    good, open_ = np.array(good) if good else empty, np.array([features(t) for t in other]) if other else empty
+    return train(good, open_, estimated_prior(good, open_))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
