@@ -6,7 +6,8 @@ after a few rounds equal neighbours have gone and names are below six, so the pl
 a local maximum cut the string into phrases of a few symbols. Each phrase is named by a hash of its
 symbols, and the names are the next level's string. Where a cut falls depends on a few symbols on
 either side alone, so equal substrings are parsed alike, whatever stands before them, but for their
-margins. A fingerprint is the bottom sketch of phrase names of one level and that level's number.
+margins. A fingerprint is the bottom sketch of the phrase names of all levels from the second on: phrases
+of some ten, thirty and a hundred characters, so that long equal stretches count on every level.
 """
 
 from __future__ import annotations
@@ -93,30 +94,30 @@ def parsed(text: str | None, levels: int = LEVELS) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(text: str | None, size: int = SKETCH, level: int = 2) -> str:
-    """The number of a level, then its ``size`` least names as fixed-width hex, smallest first.
+def fingerprint(text: str | None, size: int = SKETCH, levels: int = LEVELS) -> str:
+    """The ``size`` least names of all levels from the second on as fixed-width hex, smallest first.
 
-    A text that is a single name before ``level`` stops there. Null and empty text give "".
+    A name is bound to its level. A text that is a single name at the first level has that one. Null and empty
+    text give "".
     """
-    strings = parsed(text, level)
+    strings = parsed(text, levels)
     if not strings:
         return ""
-    names = np.unique(strings[-1] >> np.uint64(64 - 4 * DIGITS))[:size]
-    return str(len(strings)) + "".join(f"{x:0{DIGITS}x}" for x in names.tolist())
+    bound = [_mixed(names + np.array([k], np.uint64) * _MIX[0]) for k, names in enumerate(strings, 1) if k > 1 or len(strings) == 1]
+    names = np.unique(np.concatenate(bound) >> np.uint64(64 - 4 * DIGITS))[:size]
+    return "".join(f"{x:0{DIGITS}x}" for x in names.tolist())
 
 
 def likeness(a: str, b: str, size: int = SKETCH) -> float:
-    """An estimate of the shared part of all phrases of two texts, from 0 to 1.
+    """An estimate of the shared part of the phrases of two texts on all levels, from 0 to 1.
 
-    Equal fingerprints give 1, also two empty ones; an empty and another one give 0. Texts that were
-    parsed to different levels have no phrases in common.
+    Equal fingerprints give 1, also two empty ones; an empty and another one give 0.
     """
     if a == b:
         return 1.0
-    if not a or not b or a[0] != b[0]:
+    if not a or not b:
         return 0.0
-    x = {a[i : i + DIGITS] for i in range(1, len(a), DIGITS)}
-    y = {b[i : i + DIGITS] for i in range(1, len(b), DIGITS)}
+    x, y = ({f[i : i + DIGITS] for i in range(0, len(f), DIGITS)} for f in (a, b))
     low = set(sorted(x | y)[:size])
     return len(low & x & y) / len(low)
 
