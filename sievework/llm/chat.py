@@ -18,7 +18,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def turns_with_prefixes(turns: DataFrame) -> DataFrame:
-    """``turns`` with ``place`` (from 1) and the two halves ``h1``, ``h2`` of the prefix's hash."""
+    """``turns`` with ``place`` (from 1), the two halves ``h1``, ``h2`` of the prefix's hash, and ``n_turns`` in all."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = turns.withColumn("place", F.row_number().over(order))
     bound = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
@@ -26,17 +26,17 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
         placed.withColumn("t1", F.xxhash64(*bound)).withColumn("t2", F.xxhash64(F.lit("second"), *bound))
         .withColumn("h1", F.bit_xor("t1").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("h2", F.bit_xor("t2").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("n_turns", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
         .drop("t1", "t2")
     )
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """``conv_id``, ``n_turns`` of the conversations that no longer one begins with, one of equal ones."""
-    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("whole")).select("conv_id", "whole.*")
+    whole = prefixes.where("place = n_turns")
     one = whole.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     # prefixes that go on: a first turn that many conversations share is one row after combining
-    last = prefixes.join(whole.select("conv_id", F.col("place").alias("n_turns")), "conv_id")
-    begun = last.where("place < n_turns").select("place", "h1", "h2").distinct()
+    begun = prefixes.where("place < n_turns").select("place", "h1", "h2").distinct()
     return one.join(begun, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"))
 
 
