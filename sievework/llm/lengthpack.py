@@ -9,10 +9,11 @@ padding every piece to its bucket's end adds least. In each bucket, pieces in or
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import checkpointed, need, words
+from sievework.operators.statistics import numbered
 
 MOST_WORDS, BUCKETS, BUDGET = 1024, 8, 16_384
 #: Pieces of one length are numbered in this many parts, so that no length is a single task's.
@@ -69,8 +70,8 @@ def batches(
 
     Batch k of a bucket has the pieces numbered from k * floor(budget / end), in order of length, part,
     id and piece. Pieces are numbered without bringing a bucket together: those of one length are dealt
-    to PARTS parts by the MD5 of their id, part by part, and a table of at most ``most`` * PARTS counts says where
-    each range starts. Null ids are numbered like others. Empty input gives an empty result; rows that
+    to PARTS parts by the MD5 of their id, each of which is numbered over ranges of its rows, and a table of at most
+    ``most`` * PARTS counts says where each part starts. Null ids are numbered like others. Empty input gives an empty result; rows that
     repeat an id are numbered one after the other.
     """
     if budget < most:
@@ -90,9 +91,9 @@ def batches(
         before += by_key[length, part]
     # at most most * PARTS rows of five numbers
     starts = docs.sparkSession.createDataFrame(rows, "n_words int, part int, bucket int, bucket_end int, before long")
-    place = F.row_number().over(Window.partitionBy("n_words", "part").orderBy("doc_id", "piece")) - 1
-    numbered = cut.withColumn("place", place).join(F.broadcast(starts), ["n_words", "part"])
-    return numbered.select(
+    # a length's part can be of any size: it is numbered over ranges of its rows
+    placed = numbered(cut, ["doc_id", "piece"], "place", ["n_words", "part"]).join(F.broadcast(starts), ["n_words", "part"])
+    return placed.select(
         "doc_id", "piece", "start", "n_words", "bucket", "bucket_end",
         F.floor((F.col("before") + F.col("place")) / F.floor(F.lit(budget) / F.col("bucket_end"))).alias("batch"),
         (F.col("bucket_end") - F.col("n_words")).alias("padding"),
