@@ -17,7 +17,7 @@ is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ class Hasher:
         if len(self.number) > self.MOST:
             self.number, self.hashes = {}, np.zeros(0, np.uint64)
         number = self.number
-        at = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))
+        at = np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))
         if (missing := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys(found[i] for i in missing.tolist()))
             number.update(zip(new, range(len(number), len(number) + len(new))))
