@@ -32,8 +32,8 @@ SHINGLE, SHARE = 5, 0.8
 LEAST, HASHES, BESIDE = 50, 1, 3
 #: Shingles on either side of a window's least place that windows are compared by, as 16 bits each; 0 is beyond the text.
 REACH = 49
-#: Pairs of windows that are compared at a time.
-PAIRS = 2_000
+#: Pairs of windows that are compared at a time, and shingles in other places from which they are aligned.
+PAIRS, MOVED = 2_000, 5
 #: One document in so many shows which keys are frequent; such keys are dealt to as many parts as give about PART rows each.
 SAMPLE, OFTEN, PART = 64, 8, 2_048
 _LOW = (1 << 32) - 1
@@ -507,6 +507,7 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
     run, run_least = np.cumsum(starts_of(rows, ["key", "salt"])) - 1, _run(long, share)
     fresh, enough = _distinct(near, long, share)
     size = fresh.sum(1)
+    plain = size == (near != 0).sum(1)
     of = np.repeat(np.arange(n), size)
     code = (run[of] << 16) + near[fresh]
     _, at, count = np.unique(code, return_inverse=True, return_counts=True)
@@ -555,7 +556,14 @@ def _linked(rows: pa.Table, long: int, share: float) -> pa.RecordBatch:
             open_[i[sure]] = False
             unsure = np.flatnonzero(open_[i])
             common = ((x[unsure, :, None] == y[unsure, None, :]).any(2) & fresh[i[unsure]]).sum(1)
-            for k in unsure[common >= np.maximum(enough[i], enough[j])[unsure]].tolist():
+            many = common >= np.maximum(enough[i], enough[j])[unsure]
+            unsure, common = unsure[many], common[many]
+            exact = _edited(same[unsure], fresh[i[unsure]] & fresh[j[unsure]], long, share, 1)
+            out.append(np.stack([i[unsure[exact]], j[unsure[exact]]]))
+            open_[i[unsure[exact]]] = False
+            # without repeated shingles, and few in other places, there is nothing that place by place does not tell
+            moved = (common - same[unsure].sum(1) >= MOVED) | ~plain[i[unsure]] | ~plain[j[unsure]]
+            for k in unsure[moved & ~exact].tolist():
                 if open_[i[k]] and _over_least(x[k], y[k], long, share):
                     open_[i[k]] = False
                     out.append(np.array([[i[k]], [j[k]]]))
@@ -597,11 +605,11 @@ def _distinct(near: np.ndarray, long: int, share: float) -> tuple[np.ndarray, np
     return (prior < 0) & (near != 0), np.maximum(1, np.ceil(share * least - 1e-9)).astype(np.int64)
 
 
-def _edited(same: np.ndarray, fresh: np.ndarray, long: int, share: float) -> np.ndarray:
+def _edited(same: np.ndarray, fresh: np.ndarray, long: int, share: float, step: int = 4) -> np.ndarray:
     """True where a stretch over the least place, without repeated shingles, resembles place by place."""
     equal, once = (np.pad(np.cumsum(x, axis=1, dtype=np.int16), ((0, 0), (1, 0))) for x in (same, fresh))
     found = np.zeros(len(same), bool)
-    for size in range(long, 2 * REACH + 2, 4):
+    for size in range(long, 2 * REACH + 2, step):
         lo = np.arange(max(0, REACH - size + 1), min(REACH, 2 * REACH + 1 - size) + 1)
         common = equal[:, lo + size] - equal[:, lo]
         found |= ((common >= share * (2 * size - common)) & (once[:, lo + size] - once[:, lo] == size)).any(1)
