@@ -228,16 +228,16 @@ def two_phase(spark, sf_dir):
 _EXPORT = f"""{_VERIFIED},
 r AS (SELECT index, l_partkey, best, clean, facets, ok, structure, best % 5 > 0 AS found, index % 8 > 0 AS said, 'so wait and wait ' || repeat('x', (index % 40)::INT) AS thinking FROM w),
 x AS (SELECT index, clean, CASE WHEN NOT ok THEN 'overall_pass' WHEN NOT facets THEN 'facets' WHEN clean IS NULL OR clean < 0.3 OR structure IS NULL OR structure < 0.2 THEN 'score' WHEN NOT found THEN 'no_rollout' WHEN NOT said THEN 'no_messages'
-  WHEN length(thinking) > 50 THEN 'length' WHEN index % 3 = 0 THEN 'waits' ELSE 'written' END AS state FROM r)"""
+  WHEN length(thinking) + CASE WHEN index % 3 = 0 THEN 5 ELSE 0 END > 50 THEN 'length' WHEN index % 3 = 0 THEN 'waits' ELSE 'written' END AS state FROM r)"""
 
 
 @query(f"WITH {_EXPORT} SELECT state, count(*) AS n, round(avg(clean), 6) AS clean FROM x GROUP BY state")
 def export_gates(spark, sf_dir):
-    thinking = F.concat(F.lit("so wait and wait "), F.repeat(F.lit("x"), (F.col("index") % 40).cast("int")), F.when(F.col("index") % 3 == 0, "").otherwise(""))
+    thinking = F.concat(F.lit("so wait and wait "), F.repeat(F.lit("x"), (F.col("index") % 40).cast("int")))
     thought = F.concat(F.lit("<think>"), thinking, F.lit("</think> {}"))
     messages = F.when(F.col("index") % 8 > 0, judging.chat_messages(F.lit("be kind"), F.lit("draw"), F.lit(""), thought))
     # the third round has one more wait than is allowed
-    rollouts = _samples(spark, sf_dir).where("image_idx % 5 > 0").select("index", "image_idx", messages.alias("messages"), F.when(F.col("index") % 3 == 0, F.concat(F.lit("<think>Wait "), F.substring(thinking, 6, 1000), F.lit(" WAIT</think>"))).alias("raw"))
+    rollouts = _samples(spark, sf_dir).where("image_idx % 5 > 0").select("index", "image_idx", messages.alias("messages"), F.when(F.col("index") % 3 == 0, F.concat(F.lit("<think>"), thinking, F.lit(" WAIT</think>"))).alias("raw"))
     states = judging.export_states(_verified(spark, sf_dir), rollouts, least_score=0.3, floors={"structure": 0.2}, require_pass=True, require_facets=True, most_waits=2, most_length=50)
     return rounded(states.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("clean_score").alias("clean")))
 
