@@ -203,6 +203,8 @@ def near_duplicates(
 SHINGLE, SHARE, REACH = 5, 0.8, 20
 #: Functions whose least hashes, two by two, are the blocks that texts are compared in.
 MINIMA = 6
+#: Up to this many candidates of a text in a round are of one component each.
+APART = 4
 #: Blocks of more texts are dealt to parts.
 PART = 2_048
 
@@ -216,8 +218,8 @@ def similar_links(texts: DataFrame, share: float = SHARE, shingle: int = SHINGLE
     thousands. A candidate is a link only if the sets of shingles, compared in full, resemble. Rounds go on until no
     block holds candidates in different components that have not been compared: in the first round each text proposes,
     of those in lower components, the smallest, so that a group of copies needs as many comparisons as it has texts,
-    not pairs; in each further round those that are left propose four times as many, of as many components. Texts
-    without words have no links.
+    not pairs; in each further round those that are left propose four times as many, soon several of one component, so
+    that rounds grow with the logarithm of the candidates that a text has. Texts without words have no links.
     """
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps, keys, nodes = [], [], []
@@ -281,7 +283,7 @@ def _set_of(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _proposals(rows: DataFrame, refuted: DataFrame | None, radius: int, whole: bool, part: int, most: int) -> DataFrame:
-    """``a``, ``b``: of every text at most ``most`` candidates that were not refuted, the smallest of lower components.
+    """``a``, ``b``: of every text at most ``most`` candidates that were not refuted, the first of lower components.
 
     Blocks of more than ``part`` texts are dealt to parts. Texts of a part are compared; if ``whole``, those outside
     the block's largest component go to all parts, so that any two of different components meet.
@@ -314,10 +316,11 @@ def _proposals(rows: DataFrame, refuted: DataFrame | None, radius: int, whole: b
 
 
 def first_near(fp: np.ndarray, block: np.ndarray, node: np.ndarray, component: np.ndarray, refuted: dict[int, list[int]], radius: int, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``a`` and, for each, the first rows ``b`` within ``radius`` bits of at most ``most`` lower components of its block.
+    """Rows ``a`` and, for each, the first rows ``b`` of lower components of its block within ``radius`` bits, ``most`` at most.
 
-    ``block`` is sorted and, inside it, ``component``. A row meets the words of 64 rows of its block from the first
-    on, until it has found as many. ``refuted`` names, by row, nodes that it may not propose.
+    Up to APART of them are of one component each; a ``most`` beyond that takes any, as texts of two components that
+    stay apart all have to be compared. ``block`` is sorted and, inside it, ``component``. A row meets the words of 64
+    rows of its block from the first on, until it has found as many. ``refuted`` names, by row, nodes that it may not propose.
     """
     n = fp.size
     planes, filled, base, of, start = _sliced(fp, block)
@@ -340,10 +343,11 @@ def first_near(fp: np.ndarray, block: np.ndarray, node: np.ndarray, component: n
             if refuted:
                 ok &= np.array([r not in refuted or node[o] not in refuted[r] for r, o in zip(row.tolist(), other.tolist(), strict=True)], bool)
             row, other = row[ok], other[ok]
-            # the first of each component, which is not the last one that was found
-            new = np.r_[True, (row[1:] != row[:-1]) | (component[other[1:]] != component[other[:-1]])][: row.size]
-            new &= component[other] != latest[row]
-            row, other = row[new], other[new]
+            if most <= APART:
+                # the first of each component, which is not the last one that was found
+                new = np.r_[True, (row[1:] != row[:-1]) | (component[other[1:]] != component[other[:-1]])][: row.size]
+                new &= component[other] != latest[row]
+                row, other = row[new], other[new]
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: row.size])
             rank = np.arange(row.size) - np.repeat(first, np.diff(np.r_[first, row.size])) + found[row]
             row, other = row[rank < most], other[rank < most]

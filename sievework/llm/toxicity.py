@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from sievework.llm.common import need, training_rows
+from sievework.llm.common import need, trained_in_task
 
 #: A model has this many weights; words share them by hash.
 BUCKETS = 1 << 18
@@ -144,10 +144,13 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, label_col: str = "toxic") -> Model:
     """A model from documents whose label may be used (``trusted``, over ``doc_id``)."""
-    texts, y = training_rows(docs, labels, trusted, label_col)
+    return trained_in_task(docs, labels, trusted, label_col, _of_distinct)
+
+
+def _of_distinct(texts: list[str], labels: np.ndarray) -> Model:
     # copies of one text would count as independent evidence for its words
     first = list({t: i for i, t in reversed(list(enumerate(texts)))}.values())
-    return train([texts[i] for i in first], y[first])
+    return train([texts[i] for i in first], labels[first])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

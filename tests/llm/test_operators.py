@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sievework.llm import (
     chat, decontaminate, fingerprint, lengthpack, passages, quality, recurrent, simhash, tokenpack, toxicity,
 )
-from sievework.llm.common import components, local_roots, training_rows
+from sievework.llm.common import components, local_roots, trained_in_task, training_rows
 
 DOCS = "doc_id long, text string"
 rng = random.Random(5)
@@ -44,6 +45,19 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(frame(spark, [], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 60, 1_000_000])
+def test_few_links_are_joined_in_a_few_jobs(spark, local):
+    links = [(i, i + 1) for i in range(-40, 40)] + [(100, i) for i in range(101, 130)] + [(None, 5), (1 << 62, -(1 << 62))]
+    want = {**{i: -40 for i in range(-40, 41)}, **{i: 100 for i in range(100, 130)}, 1 << 62: -(1 << 62), -(1 << 62): -(1 << 62)}
+    edges = frame(spark, links, "a long, b long")
+    spark.sparkContext.setJobGroup(f"few {local}", "links")
+    got = components(edges) if local > 100 else components(edges, local=local)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {local}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.component for r in got.collect()} == want
+    assert jobs <= 8 or local < 100
+
+
 def test_local_roots_reach_the_smallest_node():
     n, a, b = 50, np.array([3, 9, 20, 21, 4]), np.array([9, 20, 21, 3, 5])
     root = local_roots(n, a, b)
@@ -479,6 +493,24 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert quality.scored(frame(spark, []), none).count() == 0
 
 
+def test_toxicity_is_not_learned_in_the_driver(spark, monkeypatch):
+    docs = frame(spark, [(d, prose(20, d) + (" zorkly" if d % 5 == 0 else "")) for d in range(60)] + [(60, None), (61, "x" * 2_000), (3, "again")])
+    labels = frame(spark, [(d, int(d % 5 == 0)) for d in range(62)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    texts, y, where = trained_in_task(docs, labels, F.lit(True), "toxic", lambda t, y: (t, y, os.getpid()), 50, 1_500)
+    wanted, ys = training_rows(docs, labels, F.lit(True), "toxic", 50, 1_500)
+    assert (texts, y.tolist()) == (wanted, ys.tolist()) and len(texts) > 5 and where != os.getpid()
+    before = toxicity.train(*training_rows(docs, labels, F.lit(True), "toxic"))
+
+    def fails(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "train", fails)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert np.array_equal(model.weights, before.weights) and model.bias == before.bias
+    monkeypatch.undo()
+    assert not toxicity.fit(docs.limit(0), labels, F.lit(True)).weights.any() and not toxicity.fit(docs, labels.where("false"), F.lit(True)).weights.any()
+
+
 def test_toxic_sentences_are_learned_from_documents(spark):
     rows = [(d, ". ".join(prose(9, 10 * d + k) + (" zorkly" if d % 5 == 0 and k == 3 else "") for k in range(8))) for d in range(300)]
     docs = frame(spark, [*rows, (1000, None), (1001, "")])

@@ -108,6 +108,18 @@ def test_sliced_counters_are_distances(radius):
         assert b[a == i].tolist() == near[:3]
 
 
+def test_later_rounds_take_several_texts_of_a_component():
+    n = 200
+    fp, block = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    component, node = np.where(np.arange(n) < n - 2, 0, np.arange(n)), np.arange(n)
+    refuted = {n - 1: list(range(10))}
+    a, b = simhash.first_near(fp, block, node, component, refuted, 20, most=1)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(n - 2, 0), (n - 1, 10)]
+    # one of a component at a time would take as many rounds as it has texts
+    a, b = simhash.first_near(fp, block, node, component, refuted, 20, most=64)
+    assert b[a == n - 1].tolist() == list(range(10, 74)) and b[a == n - 2].tolist() == list(range(64))
+
+
 # --- passages -------------------------------------------------------------------------------------------
 
 
