@@ -95,8 +95,10 @@ def line(points: DataFrame, x: str, y: str) -> DataFrame:
 def average_ranks(points: DataFrame, column: str, out: str) -> DataFrame:
     """The rank of each row by ``column``; tied rows share the mean of theirs.
 
-    Ranks come from counts by value, so rows are shuffled by value alone and a tied value is one row.
+    Ranks come from counts by value, so rows are shuffled by value alone and a tied value is one row. Points are kept
+    first: those that come from averages would differ in their last bits if made again, and not meet their ranks.
     """
+    points = checkpointed(points)
     counts = points.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     up = running_sum(counts.withColumnRenamed("__v", "__value"), ["__value"], F.col("__n"), "__to")
     ranked = up.select("__value", (F.col("__to") - (F.col("__n") - 1) / 2).alias(out))

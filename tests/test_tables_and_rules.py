@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import random
 import re
 from itertools import permutations
 
@@ -45,6 +46,13 @@ def test_degenerate_points(spark):
     assert (f, a, k, r2) == pytest.approx((2, 3, 1.3, 1), abs=1e-4)
 
 
+def test_points_whose_last_bits_change_keep_their_ranks(spark):
+    noisy = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    p = spark.range(30).select(noisy(F.col("id").cast("double")).alias("x"), noisy((F.col("id") * 7 % 30).cast("double")).alias("y"))
+    got, = S.spearman(p, "x", "y").collect()
+    assert got.n == 30 and got.rho == pytest.approx(np.corrcoef(np.arange(30), np.arange(30) * 7 % 30)[0, 1])
+
+
 def test_hashes(spark):
     got = one(spark, s=hashing.rollout_seed(F.lit(7), F.lit(2)), k=hashing.caption_key(F.lit("u1"), F.lit("héé")), u=hashing.uniform(F.lit("a|1")))
     assert got.s == int(hashlib.sha256(b"7_2").hexdigest(), 16) % 2**31
