@@ -75,9 +75,10 @@ def composed(total: Column, key: Column, decay: float = 1.0) -> Column:
         # the smallest N with 1 - decay^N >= share (1 - decay^total)
         n = F.least(F.greatest(F.ceil(F.log(F.lit(1) - share * (1 - F.pow(F.lit(decay), total))) / float(np.log(decay))).cast("int"), F.lit(1)), total)
     places = F.when(total > 1, F.sequence(F.lit(1), F.greatest(total, F.lit(2)) - 1)).otherwise(F.array().cast("array<int>"))
-    shuffled = F.array_sort(F.transform(places, lambda i: F.struct(u(F.lit("cut"), i.cast("string")).alias("u"), i.alias("i"))))
-    cuts = F.concat(F.array(F.lit(0)), F.array_sort(F.transform(F.slice(shuffled, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x: x["i"])), F.array(total.cast("int")))
-    parts = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.element_at(cuts, i + 1) - F.element_at(cuts, i))
+    shuffled = F.sort_array(F.transform(places, lambda i: F.struct(u(F.lit("cut"), i.cast("string")).alias("u"), i.alias("i"))))
+    # the cuts are bound, else each part would hash and sort all places again
+    cuts = F.concat(F.array(F.lit(0)), F.sort_array(F.transform(F.slice(shuffled, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x: x["i"])), F.array(total.cast("int")))
+    parts = F.transform(F.array(cuts), lambda c: F.zip_with(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, F.lit(1), F.size(c) - 1), lambda x, y: x - y))[0]
     return F.when(total > 0, parts).otherwise(F.array().cast("array<int>"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import geometry, hashing, stats, text
 from sievework.operators import documents as D
+from sievework.operators import mixture
 from sievework.operators import relational as R
 from sievework.operators import sequences as Q
 from sievework.operators import statistics as S
@@ -53,6 +54,17 @@ def test_points_whose_last_bits_change_keep_their_ranks(spark):
     assert got.n == 30 and got.rho == pytest.approx(np.corrcoef(np.arange(30), np.arange(30) * 7 % 30)[0, 1])
 
 
+def test_frames_are_divided_once_for_all_parts(spark):
+    totals = [0, 1, 2, 3, 50, 400]
+    got = {r.t: r.p for r in spark.createDataFrame([(t,) for t in totals], "t int").select("t", mixture.composed(F.col("t"), F.lit("k")).alias("p")).collect()}
+    for t in totals:
+        n = min(int(D.chance("k", "parts") * t) + 1, t)
+        edges = [0, *sorted(sorted(range(1, t), key=lambda i: D.chance("k", "cut", i))[: max(n - 1, 0)]), t]
+        assert got[t] == ([b - a for a, b in zip(edges, edges[1:])] if t else [])
+    # one hash for the number of parts and one for a place: none is made again for each part
+    assert str(mixture.composed(F.col("t"), F.lit("k"))).count("sha2") == 2
+
+
 def test_hashes(spark):
     got = one(spark, s=hashing.rollout_seed(F.lit(7), F.lit(2)), k=hashing.caption_key(F.lit("u1"), F.lit("héé")), u=hashing.uniform(F.lit("a|1")))
     assert got.s == int(hashlib.sha256(b"7_2").hexdigest(), 16) % 2**31
