@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import checkpointed
+
 
 # --- duplicates, resuming, shards ---------------------------------------------------------------------
 
@@ -188,11 +190,40 @@ def style_score(rows: DataFrame, references: DataFrame, key: list[str], vector:
 def style_score_of_many(rows: DataFrame, references: DataFrame, key: list[str], vector: str, style: str) -> DataFrame:
     """As :func:`style_score` for any number of references, 0 where a style has none; ``key`` and ``style`` name a row.
 
-    Products are reduced to their maximum as pairs are made, so that no row holds a style's vectors.
+    Exact, by bounds. Equal vectors of a style are compared once. A vector e that is among the references has a product
+    of e.e at least, else 0 is the least; a reference r has a greater one than b only if |e - r|^2 < |e|^2 + |r|^2 - 2 b,
+    which the longest reference bounds, so that only those within this distance in each of the first three components
+    are multiplied. They meet in cells of eight times the style's largest distance. Where lengths are alike, as those of
+    unit vectors are, few are left; where they are not, or a vector is in no reference, up to all of the style are.
     """
-    refs = references.select(style, F.col(vector).alias("__ref"))
-    dot = F.aggregate(F.zip_with(vector, "__ref", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(refs, style, "left").groupBy(*key, style).agg(F.greatest(F.lit(0.0), F.max(dot)).alias("score"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+    both = references.select(F.col(style).alias("s"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("ref"), F.lit(False).alias("row")).unionByName(
+        rows.select(F.col(style).alias("s"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("ref"), F.lit(True).alias("row")))
+    each = both.where("s IS NOT NULL AND v IS NOT NULL").groupBy("s", "v").agg(F.max("ref").alias("ref"), F.max("row").alias("row"))
+    place = [F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).alias(f"x{i}") for i in range(3)]
+    each = checkpointed(each.select("*", dot(F.col("v"), F.col("v")).alias("nn"), *place, F.monotonically_increasing_id().alias("node")))
+    least = F.when(F.col("ref"), F.col("nn")).otherwise(0.0)
+    longest = each.where("ref").groupBy("s").agg(F.max("nn").alias("longest"))
+    # a billionth more than the bound covers the rounding of sums
+    reach = F.sqrt(F.greatest(F.col("nn") + F.col("longest") - 2 * least, F.lit(0.0)) + 1e-9 * (F.col("nn") + F.col("longest")) + 1e-300)
+    asked = checkpointed(each.where("row").join(longest, "s").select("s", "node", "v", "x0", "x1", "x2", least.alias("least"), reach.alias("reach")).where("reach IS NOT NULL"))
+    width = asked.groupBy("s").agg((8 * F.max("reach")).alias("width"))
+
+    def cell(x):
+        # no cells where lengths have no bound: all of the style meet
+        return F.when(F.col("width") < 1e150, F.floor(x / F.col("width"))).otherwise(F.lit(0).cast("long"))
+
+    a = asked.join(width, "s")
+    for i in range(3):
+        a = a.withColumn(f"c{i}", F.explode(F.sequence(cell(F.col(f"x{i}") - F.col("reach")), cell(F.col(f"x{i}") + F.col("reach")))))
+    b = each.where("ref AND nn IS NOT NULL").join(width, "s").select("s", *[cell(F.col(f"x{i}")).alias(f"c{i}") for i in range(3)], F.col("v").alias("r"), F.col("node").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(3)])
+    met = a.join(b, ["s", "c0", "c1", "c2"]).where("node <> other")
+    for i in range(3):
+        met = met.where((F.abs(F.col(f"x{i}") - F.col(f"y{i}")) <= F.col("reach")) | ~(F.col("reach") < 1e150))
+    best = met.select("node", dot(F.col("v"), F.col("r")).alias("p")).unionByName(asked.select("node", F.col("least").alias("p"))).groupBy("node").agg(F.max("p").alias("best"))
+    found = each.where("row").join(best, "node").select("s", "v", "best")
+    named = rows.select(*key, style, F.col(vector).cast("array<double>").alias("__v")).join(found.select(F.col("s").alias(style), F.col("v").alias("__v"), F.col("best").alias("__best")), [style, "__v"], "left")
+    return named.groupBy(*key, style).agg(F.greatest(F.lit(0.0), F.max("__best")).alias("score"))
 
 
 def loss_histogram(rows: DataFrame, time: str, loss: str, width: int = 100, buckets: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import os
 import random
 import re
+import time
 from itertools import permutations
 
 import numpy as np
@@ -291,6 +292,36 @@ def test_whole_tables_meet_without_id_filters(spark, sf_dir):
     assert want and {tuple(r) for r in catalog.QUERIES["judge_agree"](spark, sf_dir).collect()} == want
 
 
+def test_many_references_are_not_multiplied_by_all(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(12_000, 8))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    v[:40] = v[40:80] * np.float32(1 + 3e-7)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<float>").withColumn("s", F.lit(1)).repartition(8)
+    start = time.time()
+    got = {x.k: x.score for x in R.style_score_of_many(e, e, ["k"], "v", "s").collect()}
+    took = time.time() - start  # all products would take minutes
+    w = v.astype(np.float64)
+    want = np.concatenate([(w[i : i + 1000] @ w.T).max(1) for i in range(0, len(w), 1000)])
+    assert np.allclose([got[i] for i in range(len(w))], want, rtol=0, atol=1e-13) and took < 60
+
+
+def test_references_of_any_length_and_kind(spark):
+    r, inf, nan = np.random.default_rng(5), float("inf"), float("nan")
+    make = lambda n, s: [(s, (r.normal(size=3) * 10.0 ** r.integers(-2, 3)).tolist()) for _ in range(n)]
+    refs = make(40, 1) + make(5, 2) + [(1, [0.0, -0.0, 0.0]), (1, [1.0]), (1, [1.0, None, 2.0]), (1, None), (None, [1.0, 1.0, 1.0]), (3, [inf, 1.0, 1.0]), (4, [nan, 1.0, 1.0]), (5, [-1.0, 0.0, 0.0]), (1, [])]
+    rows = [*enumerate(refs[::2] + make(20, 1) + refs[-9:] + [(3, [inf, 2.0, 1.0]), (3, [2.0, 2.0, 1.0]), (4, [1.0, 2.0, 1.0]), (5, [2.0, 0.0, 0.0]), (6, [1.0, 1.0, 1.0]), (1, [9.0])])]
+
+    def best(s, v):
+        dots = [sum((x * y for x, y in zip(v, q)), 0.0) for t, q in refs if s is not None and v is not None and q is not None and t == s and len(q) == len(v) and None not in q + v]
+        return nan if any(d != d for d in dots) else max([0.0, *dots])
+
+    got = R.style_score_of_many(spark.createDataFrame([(k, s, v) for k, (s, v) in rows], "k long, s int, v array<double>"), spark.createDataFrame(refs, "s int, v array<double>"), ["k"], "v", "s").collect()
+    assert len(got) == len(rows)
+    have = {x.k: x.score for x in got}
+    assert have == {k: pytest.approx(best(s, v), rel=1e-12, nan_ok=True) for k, (s, v) in rows}
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, f in catalog.QUERIES.items():
         assert f(spark, sf_dir).columns, name
