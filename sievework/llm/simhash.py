@@ -10,7 +10,7 @@ carry-save counters; words whose 64 distances all exceed the radius are abandone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -203,62 +203,248 @@ def near_duplicates(
 SHINGLE, SHARE, REACH = 5, 0.8, 20
 #: Functions whose least hashes, two by two, are the blocks that texts are compared in.
 MINIMA = 6
-#: Up to this many candidates of a text in a round are of one component each.
+#: Up to this many candidates of a text are of one component each.
 APART = 4
-#: Blocks of more texts are dealt to parts.
-PART = 2_048
+#: Blocks and families of more texts are dealt to parts, families of more shingles as well.
+PART, SHINGLES = 2_048, 1 << 20
+#: Shingles of candidates that are looked up at a time.
+_LOOKED_UP = 1 << 19
 
 
-def similar_links(texts: DataFrame, share: float = SHARE, shingle: int = SHINGLE, radius: int = REACH, part: int = PART) -> DataFrame:
+def similar_links(
+    texts: DataFrame, share: float = SHARE, shingle: int = SHINGLE, radius: int = REACH, part: int = PART,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``a``, ``b``: links that join all texts (``node``, unique; ``text``) whose sets of shingles resemble by ``share``.
 
     Texts with two least shingles of MINIMA functions in common share a block, which two texts that resemble by 0.8
     fail to with a chance of 0.0016. In a block, fingerprints are compared bit-sliced, and those within ``radius``
     bits are candidates; sets that resemble by 0.8 differ in 10 bits of 64 on average, and in over 20 once in
-    thousands. A candidate is a link only if the sets of shingles, compared in full, resemble. Rounds go on until no
-    block holds candidates in different components that have not been compared: in the first round each text proposes,
-    of those in lower components, the smallest, so that a group of copies needs as many comparisons as it has texts,
-    not pairs; in each further round those that are left propose four times as many, soon several of one component, so
-    that rounds grow with the logarithm of the candidates that a text has. Texts without words have no links.
+    thousands. What candidates join is a family. A family's texts are read once, in a task that compares their sets
+    of shingles in full (:class:`Sets`), so neither candidates nor pairs of texts are ever rows: blocks and families
+    alike give fewer links than they have texts. Texts without words have no links. ``read`` adds their texts to rows
+    of few nodes, if there is a cheaper way than a join with ``texts``.
     """
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps, keys, nodes = [], [], []
+        fps, keys, nodes, sizes = [], [], [], []
         for node, t in zip(batch["node"].to_pylist(), batch["text"], strict=True):
             h = _set_of(t.as_py(), shingle)
             if h.size:
                 nodes.append(node)
+                sizes.append(h.size)
                 bits = np.unpackbits(_spread(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
                 fps.append(np.packbits(2 * bits > h.size, bitorder="little").view(np.int64)[0])
                 least = [int(_spread(h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min()) for k in range(1, MINIMA + 1)]
                 keys.append([xxhash.xxh3_64_intdigest(f"{i} {j} {least[i]} {least[j]}") - (1 << 63) for i, j in combinations(range(MINIMA), 2)])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
-
-    made = checkpointed(by_batch(texts.select("node", "text"), make, "node long, fp long, keys array<long>"))
-    rows = made.select("node", "fp", F.explode("keys").alias("key"))
-    shared = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = checkpointed(rows.join(shared.select("key"), "key"))
-    nodes = rows.select("node").distinct()
-    links = refuted = None
-    # blocks that are dealt to parts are compared across them once nothing is left inside
-    of, split, whole, most = nodes.withColumn("component", F.col("node")), not shared.where(F.col("n") > part).isEmpty(), False, 1
-    while True:
-        proposed = checkpointed(_proposals(rows.join(of, "node"), refuted, radius, whole, part, most))
-        if proposed.isEmpty():
-            if whole or not split:
-                break
-            whole = True
-            continue
-        checked = checkpointed(_compared(texts, proposed, share, shingle))
-        good, bad = checked.where("similar").select("a", "b"), checked.where("NOT similar").select("a", "b")
-        refuted = bad if refuted is None else checkpointed(refuted.unionByName(bad))
-        # the few texts that are left have more candidates looked at, so that rounds are few
-        most *= 4
-        if good.isEmpty():
-            continue
-        links = good if links is None else checkpointed(links.unionByName(good))
-        joined = components(links).select("node", F.col("component").alias("c"))
-        of = checkpointed(nodes.join(joined, "node", "left").select("node", F.coalesce("c", "node").alias("component")))
-    return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)) if links is None else links
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "size", "keys"]
+        )
+
+    made = checkpointed(by_batch(texts.select("node", "text"), make, "node long, fp long, size long, keys array<long>"))
+    rows = made.select("node", "fp", F.explode("keys").alias("group"))
+    shared = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = checkpointed(rows.join(shared.select("group"), "group").withColumn("size", F.lit(0).cast("long")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in runs_of(batches, ["group", "part"]):
+            node, fp, component = (some[c].to_numpy() for c in ("node", "fp", "component"))
+            a, b = near_links(fp.view(np.uint64), np.cumsum(starts_of(some, ["group", "part"])) - 1, component, radius)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    def in_blocks(dealt: DataFrame, again: bool) -> DataFrame:
+        return dealt.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(near, "a long, b long")
+
+    def in_families(dealt: DataFrame, again: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _resembling(batches, share, shingle, again)
+
+        few = checkpointed(dealt)
+        # six numbers a row
+        found = read(few) if read else texts.select("node", "text").join(small_or_shuffled(few), "node")
+        members = found.select("group", "part", "guest", "component", "node", "text")
+        return members.repartition("group", "part").sortWithinPartitions("group", "part", "guest", "node").mapInArrow(run, "a long, b long")
+
+    families = components(_linked_by_parts(blocks, in_blocks, part)).select("node", F.col("component").alias("group"))
+    return _linked_by_parts(checkpointed(families.join(made.select("node", "size"), "node")), in_families, part)
+
+
+def _linked_by_parts(rows: DataFrame, links_of: Callable[[DataFrame, bool], DataFrame], part: int) -> DataFrame:
+    """``a``, ``b``: what ``links_of`` finds in the groups of ``rows`` (``group``, ``node``, ``size`` and others).
+
+    Groups of more than ``part`` nodes, or of more than SHINGLES in size, are dealt to parts, whose links are found
+    first. Then the nodes outside such a group's largest component visit all other parts as guests, so any two of
+    different components meet. ``links_of`` gets ``part``, ``guest`` and ``component`` with the rows, and whether this
+    is the second time, when only guests and their hosts are left to compare.
+    """
+    sizes = rows.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(part), F.sum("size") / F.lit(SHINGLES))).cast("long").alias("parts"))
+    split = checkpointed(sizes.where("parts > 1"))
+    if split.isEmpty():
+        return checkpointed(links_of(rows.select("*", F.lit(0).cast("long").alias("part"), F.lit(False).alias("guest"), F.col("node").alias("component")), False))
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(small_or_shuffled(split), "group", "left").select(*rows.columns, own.alias("part"), F.lit(False).alias("guest"), F.col("node").alias("component"))
+    links = checkpointed(links_of(dealt, False))
+    joined = components(links).select("node", F.col("component").alias("c"))
+    large = checkpointed(rows.join(small_or_shuffled(split), "group").join(joined, "node", "left").select(*rows.columns, "parts", F.coalesce("c", "node").alias("component")))
+    largest = large.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(
+        F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component"))["component"].alias("largest")
+    )
+    # groups of one component have nothing left to compare
+    open_ = checkpointed(largest.where("components > 1").select("group", "largest"))
+    to = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    visits = large.join(small_or_shuffled(open_), "group").select(*rows.columns, "component", own.alias("own"), F.explode(to).alias("part"))
+    return links.unionByName(checkpointed(links_of(visits.withColumn("guest", F.col("part") != F.col("own")).drop("own"), True)))
+
+
+def near_links(fp: np.ndarray, block: np.ndarray, component: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a``, ``b`` that join, in each block, all fingerprints within ``radius`` bits that ``component`` does not join yet.
+
+    Each row proposes the first of lower components; what was found joins components, until a block finds nothing.
+    """
+    component, live = np.unique(component, return_inverse=True)[1], np.arange(fp.size)
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while live.size:
+        live = live[np.lexsort((component[live], block[live]))]
+        x, y = (live[at] for at in first_near(fp[live], block[live], live, component[live], {}, radius))
+        component = local_roots(fp.size, component[x], component[y])[component]
+        a, b = np.r_[a, x], np.r_[b, y]
+        live = live[np.isin(block[live], block[x])]
+    root = local_roots(fp.size, a, b)
+    a = np.flatnonzero(root != np.arange(fp.size))
+    return a, root[a]
+
+
+class Sets:
+    """Sets of hashes, among which those that resemble a set by ``share`` are found exactly.
+
+    Hashes are ranked by how few sets have them. Two sets that resemble by ``share`` have one in common among the
+    first ``size - ceil(share * size) + 1`` of either, which are mostly its own: only sets that are met there are
+    compared, those with most in common first, and none that is joined already.
+    """
+
+    def __init__(self, nodes: list[int], names: list[int], sets: list[np.ndarray], share: float) -> None:
+        self.nodes, self.share, self.size = nodes, share, np.array([s.size for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.hashes, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(count.size, np.int64)
+        self.rank[np.argsort(count, kind="stable")] = np.arange(count.size)
+        owner, token = np.repeat(np.arange(len(sets)), self.size), self.rank[at]
+        order = np.lexsort((token, owner))
+        self.token, self.first = token[order], np.cumsum(self.size) - self.size
+        early = np.arange(flat.size) - self.first[owner] < self._early(self.size)[owner]
+        met, who = self.token[early], owner[early]
+        order = np.argsort(met, kind="stable")
+        self.who, self.ends = who[order], np.r_[0, np.cumsum(np.bincount(met, minlength=count.size))]
+        self.mark = np.zeros(count.size, bool)
+        # components: a number for each set, the sets of each number, and numbers that have become others
+        self.number: dict[int, int] = {}
+        self.of = np.array([self.number.setdefault(c, len(self.number)) for c in names], np.int64)
+        self.members: list[list[int]] = [[] for _ in self.number]
+        for i, c in enumerate(self.of.tolist()):
+            self.members[c].append(i)
+        self.became = list(range(len(self.number)))
+
+    def _early(self, size):
+        return size - np.ceil(self.share * size - 1e-9).astype(np.int64) + 1
+
+    def _now(self, c: int) -> int:
+        while self.became[c] != c:
+            c = self.became[c]
+        return c
+
+    def inside(self) -> Iterator[tuple[int, int]]:
+        """Links that join all of the sets that resemble."""
+        for i in range(1, len(self.nodes)):
+            tokens = self.token[self.first[i] : self.first[i] + self.size[i]]
+            for j in self._near(tokens, int(self.size[i]), int(self.of[i]), i):
+                yield self.nodes[i], self.nodes[j]
+
+    def of_guest(self, node: int, name: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links from another set, of the component ``name``, to each component of which it resembles a set."""
+        at = np.searchsorted(self.hashes, own)
+        at[at == self.hashes.size] = 0
+        known = self.hashes[at] == own if self.hashes.size else np.zeros(own.size, bool)
+        # hashes that no set has are its first
+        tokens = np.r_[np.full(own.size - int(known.sum()), -1), np.sort(self.rank[at[known]])]
+        if name not in self.number:
+            self.number[name] = len(self.became)
+            self.became.append(len(self.became))
+            self.members.append([])
+        for j in self._near(tokens, own.size, self._now(self.number[name]), None):
+            yield node, self.nodes[j]
+
+    def _near(self, tokens: np.ndarray, size: int, component: int, below: int | None) -> Iterator[int]:
+        early = tokens[: int(self._early(np.int64(size)))]
+        early = early[early >= 0]
+        lo, hi = self.ends[early], self.ends[early + 1]
+        some = hi - lo > (below is not None)
+        met = [self.who[i:j] for i, j in zip(lo[some].tolist(), hi[some].tolist(), strict=True)]
+        if not met:
+            return
+        found = np.concatenate(met)
+        ok = self.of[found] != component
+        if below is not None:
+            ok &= found < below
+        found, hits = np.unique(found[ok], return_counts=True)
+        least = np.minimum(self.size[found], size) >= self.share * np.maximum(self.size[found], size) - 1e-9
+        found = found[least][np.argsort(-hits[least], kind="stable")]
+        tokens, most = tokens[tokens >= 0], 4
+        self.mark[tokens] = True
+        while found.size:
+            sizes = self.size[found[:most]]
+            n = max(1, int(np.searchsorted(np.cumsum(sizes), _LOOKED_UP, "right")))
+            now, found, sizes = found[: min(n, most)], found[min(n, most) :], sizes[:n]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(self.first[now] - (ends - sizes), sizes)
+            common = np.add.reduceat(self.mark[self.token[at]], ends - sizes, dtype=np.int64)
+            for j in now[common >= self.share * (sizes + size - common) - 1e-9].tolist():
+                if self.of[j] != component:
+                    component = self._join(component, int(self.of[j]))
+                    yield j
+            found = found[self.of[found] != component]
+            most *= 4
+        self.mark[tokens] = False
+
+    def _join(self, a: int, b: int) -> int:
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b], self.became[b] = [], a
+        return a
+
+
+def _resembling(batches: Iterator[pa.RecordBatch], share: float, shingle: int, again: bool) -> Iterator[pa.RecordBatch]:
+    """Links of families' parts, sorted so that guests follow their hosts: they are compared one by one, and not kept."""
+    key, nodes, names, sets, hosts = None, [], [], [], None
+
+    def hosted() -> tuple[Sets, list[tuple[int, int]]]:
+        made = Sets(nodes, names, sets, share)
+        return made, [] if again else list(made.inside())
+
+    def sent(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        links = []
+        for group, part, guest, name, node, text in zip(*(batch[c].to_pylist() for c in ("group", "part", "guest", "component", "node")), batch["text"], strict=True):
+            if (group, part) != key:
+                if hosts is None and not again:
+                    links += hosted()[1]
+                key, nodes, names, sets, hosts = (group, part), [], [], [], None
+            if not guest:
+                nodes.append(node)
+                names.append(name)
+                sets.append(_set_of(text.as_py(), shingle))
+                continue
+            if hosts is None:
+                hosts, more = hosted()
+                links += more
+            links += hosts.of_guest(node, name, _set_of(text.as_py(), shingle))
+        if links:
+            yield sent(links)
+    if hosts is None and not again and (links := hosted()[1]):
+        yield sent(links)
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -282,39 +468,6 @@ def _set_of(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _proposals(rows: DataFrame, refuted: DataFrame | None, radius: int, whole: bool, part: int, most: int) -> DataFrame:
-    """``a``, ``b``: of every text at most ``most`` candidates that were not refuted, the first of lower components.
-
-    Blocks of more than ``part`` texts are dealt to parts. Texts of a part are compared; if ``whole``, those outside
-    the block's largest component go to all parts, so that any two of different components meet.
-    """
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.sum("n").alias("texts"), F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component"))["component"].alias("largest")
-    )
-    # blocks of one component have nothing left to compare
-    sizes = checkpointed(sizes.where("components > 1").select("key", "largest", F.ceil(F.col("texts") / part).cast("long").alias("parts")))
-    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
-    to = F.when(F.lit(whole) & (F.col("parts") > 1) & (F.col("component") != F.col("largest")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
-    rows = rows.join(small_or_shuffled(sizes), "key").select("key", "node", "fp", "component", F.explode(to).alias("part"))
-    if refuted is not None:
-        rows = rows.join(refuted.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("not")), "node", "left")
-    else:
-        rows = rows.withColumn("not", F.lit(None).cast("array<long>"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in runs_of(batches, ["key", "part"]):
-            node, fp, component = (some[c].to_numpy() for c in ("node", "fp", "component"))
-            block = np.cumsum(starts_of(some, ["key", "part"])) - 1
-            no = some["not"].combine_chunks()
-            no = {i: no[i].as_py() for i in np.flatnonzero(no.is_valid().to_numpy(zero_copy_only=False)).tolist()}
-            a, b = first_near(fp.view(np.uint64), block, node, component, no, radius, most)
-            if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    near = rows.repartition("key", "part").sortWithinPartitions("key", "part", "component", "node").mapInArrow(run, "a long, b long")
-    return near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, most).alias("bs")).select("a", F.explode("bs").alias("b"))
-
-
 def first_near(fp: np.ndarray, block: np.ndarray, node: np.ndarray, component: np.ndarray, refuted: dict[int, list[int]], radius: int, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``a`` and, for each, the first rows ``b`` of lower components of its block within ``radius`` bits, ``most`` at most.
 
@@ -382,28 +535,6 @@ def _within(planes: np.ndarray, fp: np.ndarray, at: np.ndarray, radius: int) ->
     return out
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, share: float, shingle: int) -> DataFrame:
-    """``a``, ``b``, ``similar`` of ``pairs``, whose sets of shingles are compared in full."""
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text")).join(small_or_shuffled(checkpointed(pairs.select(name).distinct())), name, "left_semi")
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, y = None, None
-        for batch in batches:
-            out = []
-            for b, one, two in zip(batch["b"].to_pylist(), batch["a_text"], batch["b_text"], strict=True):
-                if b != kept:  # rows of one smaller text follow each other
-                    kept, y = b, _set_of(two.as_py(), shingle)
-                x = _set_of(one.as_py(), shingle)
-                common = np.intersect1d(x, y, assume_unique=True).size
-                out.append(common >= share * (x.size + y.size - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
-
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, similar boolean")
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, shingle: int = SHINGLE, radius: int = REACH) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near-duplicates.
 
@@ -420,14 +551,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = checkpointed(each.groupBy("x", "y").agg(F.min("id").alias("least"), F.max("words").alias("words")).withColumn("node", F.monotonically_increasing_id()))
     one = checkpointed(each.join(node.where("words").select("x", "y", "node", "least"), ["x", "y"]).where("id <=> least").select("id", "x", "y", "node", "rows"))
 
-    def chosen(some: DataFrame) -> DataFrame:
-        some = small_or_shuffled(some.select(F.col("id").alias("i"), F.col("x").alias("p"), F.col("y").alias("q"), "node"))
-        return rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("p")) & (F.col("y") == F.col("q"))).select("node", "text")
+    def chosen(some: DataFrame, *more: str) -> DataFrame:
+        some = small_or_shuffled(some.select(F.col("id").alias("i"), F.col("x").alias("p"), F.col("y").alias("q"), "node", *more))
+        return rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("p")) & (F.col("y") == F.col("q"))).select("node", "text", *more)
+
+    repeats = not one.where("rows > 1").isEmpty()
+
+    def texts_of(some: DataFrame, *more: str) -> DataFrame:
+        found = chosen(some.where("rows = 1"), *more)
+        return found.unionByName(chosen(some.where("rows > 1"), *more).dropDuplicates(["node", *more])) if repeats else found
+
+    def read(few: DataFrame) -> DataFrame:
+        # few rows find their texts, so that not all texts are shuffled
+        return texts_of(checkpointed(one.join(few, "node")), *[c for c in few.columns if c != "node"])
 
-    texts, twice = chosen(one.where("rows = 1")), one.where("rows > 1")
-    if not twice.isEmpty():
-        texts = texts.unionByName(chosen(twice).dropDuplicates(["node"]))
-    joined = components(similar_links(texts, share, shingle, radius)).select("node", "component")
+    joined = components(similar_links(texts_of(one), share, shingle, radius, read=read)).select("node", "component")
     group = node.join(joined, "node", "left").select("x", "y", F.when(F.col("words"), F.coalesce("component", "node")).otherwise(F.lit(-1)).alias("group"))
     ranked = each.join(group, ["x", "y"]).select("group", "rows", F.struct(F.col("id").isNull().alias("none"), "id", "x", "y").alias("row"))
     best = ranked.groupBy("group").agg(F.min("row").alias("best"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -89,6 +90,58 @@ def test_one_of_each_group_of_near_copies_stays(spark, part):
     assert {x.doc_id for x in simhash.one_of_each(frame(spark, rows)).collect()} == want
 
 
+def loose_copies(n):
+    """Copies of one text with two other words each: most resemble by 0.5, those of the last tenth by 0.8 or more."""
+    r, base = random.Random(11), prose(60, 9100).split()
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(60), 2) if i < 0.9 * n else [0]:
+            w[at] = f"other{r.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_loose_copies_take_room_as_texts_not_as_pairs(spark):
+    texts = loose_copies(400)
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    used = lambda: sum(f.stat().st_size for f in Path(shared).rglob("*") if f.is_file())
+    before = used()
+    got = simhash.similar_links(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()
+    assert used() - before < 12 * sum(map(len, texts))
+    root = local_roots(400, np.array([x.a for x in got], np.int64), np.array([x.b for x in got], np.int64))
+    want = brute_groups(list(enumerate(texts)))
+    assert len(got) < 400 and np.array_equal(root, want)
+
+
+def test_near_links_join_what_pairs_join():
+    r = np.random.default_rng(5)
+    fp = np.repeat(r.integers(0, 1 << 63, 60, dtype=np.uint64), 5)
+    for _ in range(6):
+        fp ^= np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)
+    block, component = np.sort(r.integers(0, 4, 300)), np.r_[np.zeros(20, np.int64), np.arange(20, 300)]
+    pairs = [(i, j) for i in range(300) for j in range(i) if block[i] == block[j] and int(fp[i] ^ fp[j]).bit_count() <= 10]
+    same = [(i, 0) for i in range(20)]
+    root = lambda links: local_roots(300, *(np.array(x, np.int64) for x in zip(*links)))
+    a, b = simhash.near_links(fp, block, component, 10)
+    assert a.size < 300 and np.array_equal(root([*zip(a.tolist(), b.tolist()), *same]), root([*pairs, *same]))
+
+
+def test_sets_join_what_brute_force_joins():
+    r = random.Random(8)
+    base = [r.sample(range(10**6), 40) for _ in range(6)]
+    sets = [np.unique(np.array([r.randrange(10**6) if r.random() < 0.06 else x for x in r.choice(base)] + list(range(20)), np.uint64)) for _ in range(120)]
+    like = lambda x, y: len(set(x.tolist()) & set(y.tolist())) >= 0.8 * len(set(x.tolist()) | set(y.tolist()))
+    pairs = [(i, j) for i in range(120) for j in range(i) if like(sets[i], sets[j]) and (i < 80 or j < 80)]
+    roots = lambda links: local_roots(120, *(np.array(x, np.int64) for x in zip(*links)))
+    hosts = simhash.Sets(list(range(80)), list(range(80)), sets[:80], 0.8)
+    inside = list(hosts.inside())
+    links = inside + [x for i in range(80, 120) for x in hosts.of_guest(i, i, sets[i])]
+    # each link joins two components, so there are no more than make a forest
+    assert len(links) == 120 - len(set(roots(pairs).tolist())) and np.array_equal(roots(links), roots(pairs))
+    assert all(like(sets[i], sets[j]) for i, j in links) and not list(simhash.Sets([], [], [], 0.8).of_guest(1, 1, sets[0]))
+
+
 @pytest.mark.parametrize("radius", [1, 5, 20])
 def test_sliced_counters_are_distances(radius):
     r = np.random.default_rng(radius)
